@@ -28,9 +28,13 @@ def contains_fold(text: Column, part: str) -> Column:
     return F.contains(F.lower(text), F.lit(part.lower()))
 
 
-def list_items(text: Column) -> Column:
-    """Items of a comma-separated list, blanks trimmed."""
-    return F.transform(F.split(text, ","), lambda item: F.regexp_replace(item, r"^\s+|\s+\z", ""))
+def list_items_sql(text: str) -> str:
+    return rf"transform(split({text}, ','), item -> regexp_replace(item, r'^\s+|\s+\z', ''))"
+
+
+def list_items(text: str) -> Column:
+    """Items of a comma-separated list given as SQL text, blanks trimmed."""
+    return F.expr(list_items_sql(text))
 
 
 def first_non_empty(*texts: Column) -> Column:

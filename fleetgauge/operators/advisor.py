@@ -1,18 +1,20 @@
 """Configuration findings for every server snapshot.
 
-One pass: variables become typed columns (one shuffle), every rule is a Column
+One pass: variables become typed columns (one shuffle), every rule is a condition
 over them, and texts come from a literal array, so there is neither a join with
 the catalog nor a loop over rules or servers at run time.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import strict_int, version_of
+from ..functions import version_of
+from ..functions.parse import strict_int_sql
 from ..rules import AURORA_SKIP, CATEGORIES, RULES, Rule, Vars
 from ..rules.model import INT_PREFIX, TEXT_PREFIX
 from ..sources.variables import variable_columns
@@ -30,7 +32,7 @@ def _needed(rules: Sequence[Rule]) -> Vars:
     asked = Vars()
     for rule in rules:
         for case in rule.cases:
-            case.when(asked)
+            asked.fill(case.when)
             asked.text(case.variable)
     asked.text("version")
     asked.text("aurora_version")
@@ -45,46 +47,46 @@ def rule_context(
     `variables` holds variable_name/variable_value rows, or a `vars` map per snapshot.
     """
     asked = _needed(rules)
+    texts = sorted(asked.texts)
     if "vars" in variables.columns:
-        wide = variables.select(*keys, *(F.element_at("vars", F.lit(n)).alias(TEXT_PREFIX + n) for n in asked.texts))
+        wide = variables.select(*keys, *(F.element_at("vars", F.lit(n)).alias(TEXT_PREFIX + n) for n in texts))
     else:
-        wide = variable_columns(variables, sorted(asked.texts), keys, seq)
-        wide = wide.select(*keys, *(F.col(f"`{n}`").alias(TEXT_PREFIX + n) for n in sorted(asked.texts)))
+        wide = variable_columns(variables, texts, keys, seq, prefix=TEXT_PREFIX)
     return wide.select(
         *keys,
         F.col(TEXT_PREFIX + "aurora_version").isNotNull().alias("is_aurora"),
-        version_of(F.col(TEXT_PREFIX + "version")).alias("version"),
-        *(F.col(TEXT_PREFIX + name) for name in sorted(asked.texts)),
-        *(strict_int(F.col(TEXT_PREFIX + name)).alias(INT_PREFIX + name) for name in sorted(asked.ints)),
+        version_of(TEXT_PREFIX + "version").alias("version"),
+        *(TEXT_PREFIX + name for name in texts),
+        *(F.expr(f"{strict_int_sql(TEXT_PREFIX + name)} AS {INT_PREFIX}{name}") for name in sorted(asked.ints)),
     )
 
 
 def _texts(rules: dict[int, Rule]) -> Column:
     """What can be reported, as one literal array; a finding refers to it by position."""
-    return F.array(*(
-        F.struct(
-            F.lit(place).alias("ordinal"), F.lit(rule.id).alias("rule_id"), F.lit(rule.category).alias("category"),
-            F.lit(rule.severity).alias("severity"), F.lit(rule.aurora_severity()).alias("aurora_severity"),
-            F.lit(case.variable).alias("variable"), F.lit(case.description).alias("description"),
-        )
+    entries = [
+        {"ordinal": place, "rule_id": rule.id, "category": rule.category, "severity": rule.severity,
+         "aurora_severity": rule.aurora_severity(), "variable": case.variable, "description": case.description}
         for place, rule in rules.items() for case in rule.cases
-    ))
+    ]
+    kind = ("array<struct<ordinal:int,rule_id:string,category:string,severity:string,aurora_severity:string,"
+            "variable:string,description:string>>")
+    return F.from_json(F.lit(json.dumps(entries)), kind)
 
 
 def _hits(rules: Iterable[Rule]) -> Column:
     """Per rule the position of the case that holds with the value reported, or NULL."""
     asked, position, hits = Vars(), 0, []
     for rule in rules:
-        hit = None
+        branches = []
         for case in rule.cases:
-            holds = case.when(asked)
+            holds = f"({asked.fill(case.when)})"
             if AURORA_SKIP in rule.tags:
-                holds = ~F.col("is_aurora") & holds
-            found = F.struct(F.lit(position).alias("position"), asked.text(case.variable).alias("current_value"))
-            hit = F.when(holds, found) if hit is None else hit.when(holds, found)
+                holds = f"NOT is_aurora AND {holds}"
+            value = asked.text(case.variable)
+            branches.append(f"WHEN {holds} THEN named_struct('position', {position}, 'current_value', {value})")
             position += 1
-        hits.append(hit)
-    return F.array(*hits)
+        hits.append(f"CASE {' '.join(branches)} END")
+    return F.expr(f"array({', '.join(hits)})")
 
 
 def check_variables(
@@ -102,12 +104,12 @@ def check_variables(
         return context.filter(F.lit(False)).select(
             *keys, F.lit(0).alias("ordinal"), *(F.lit("").alias(name) for name in texts))
     hits = context.select(*keys, "is_aurora", F.explode(_hits(chosen.values())).alias("_hit"))
-    text = _texts(chosen)[F.col("_hit.position")]
     named = hits.filter("_hit IS NOT NULL").select(
-        *keys, "is_aurora", text.alias("_text"), F.col("_hit.current_value").alias("current_value"))
+        *keys, "is_aurora", _texts(chosen)[F.col("_hit.position")].alias("_text"),
+        F.col("_hit.current_value").alias("current_value"))
     return named.select(
         *keys, "_text.ordinal", "_text.rule_id", "_text.category",
-        F.when(F.col("is_aurora"), F.col("_text.aurora_severity")).otherwise(F.col("_text.severity")).alias("severity"),
+        F.expr("CASE WHEN is_aurora THEN _text.aurora_severity ELSE _text.severity END AS severity"),
         "_text.variable", "current_value", "_text.description",
     )
 
@@ -126,10 +128,9 @@ def rule_runs(
 
 
 def severity_rank(severity: Column) -> Column:
-    rank = F.lit(len(SEVERITIES))
-    for place, name in enumerate(SEVERITIES):
-        rank = F.when(severity == name, F.lit(place)).otherwise(rank)
-    return rank
+    """0 for critical, then warn, note and anything else."""
+    known = F.array(*(F.lit(name) for name in SEVERITIES))
+    return F.coalesce(F.nullif(F.array_position(known, severity), F.lit(0)) - 1, F.lit(len(SEVERITIES))).cast("int")
 
 
 def by_severity(findings: DataFrame, keys: Sequence[str] = INSTANCE) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import clamped_int, float_or_zero, is_user_schema
+from ..functions import is_user_schema
+from ..functions.parse import clamped_int_sql, float_or_zero_sql
 from ..sources.variables import variable_columns
 
 # Variables shown in a summary, in this order.
@@ -50,44 +51,39 @@ def schema_sizes(tables: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.col("data_length") + F.col("index_length")), F.lit(0)).cast("bigint").alias("size_bytes"))
 
 
-def _status(name: str) -> Column:
-    return clamped_int(F.col(name))
+def _ints(**fields: str) -> str:
+    """Arguments of named_struct: field -> status or variable column, read as a clamped integer."""
+    return ", ".join(f"'{name}', {clamped_int_sql(column)}" for name, column in fields.items())
 
 
 def uptime_and_rate() -> list[Column]:
-    uptime = _status("uptime")
-    rate = F.when(uptime > 0, float_or_zero(F.col("questions")) / F.nullif(uptime, F.lit(0).cast("bigint")))
-    return [uptime.alias("uptime_seconds"), F.coalesce(rate, F.lit(0.0)).alias("qps")]
+    uptime = clamped_int_sql("uptime")
+    return [F.expr(f"{uptime} AS uptime_seconds"),
+            F.expr(f"CASE WHEN {uptime} > 0 THEN {float_or_zero_sql('questions')} / {uptime} ELSE 0D END AS qps")]
 
 
 def connection_stats() -> Column:
-    running = _status("threads_running")
-    return F.struct(
-        clamped_int(F.col(VARIABLE + "max_connections")).alias("max_connections"),
-        running.alias("current_active"), (_status("threads_connected") - running).alias("current_sleeping"),
-        _status("connections").alias("total_connections"), _status("aborted_connects").alias("aborted_connects"),
-    ).alias("connections")
+    sleeping = f"{clamped_int_sql('threads_connected')} - {clamped_int_sql('threads_running')}"
+    return F.expr("named_struct({}, {}, 'current_sleeping', {}, {}) AS connections".format(
+        _ints(max_connections=VARIABLE + "max_connections"), _ints(current_active="threads_running"), sleeping,
+        _ints(total_connections="connections", aborted_connects="aborted_connects")))
 
 
 def buffer_pool_stats() -> Column:
-    requests, reads = _status(POOL_COUNTERS["read_requests"]), _status(POOL_COUNTERS["reads"])
-    missed = reads.cast("double") / F.nullif(requests, F.lit(0).cast("bigint")).cast("double")
-    ratio = F.when(requests > 0, (F.lit(1.0) - missed) * 100)
-    return F.struct(
-        clamped_int(F.col(VARIABLE + "innodb_buffer_pool_size")).alias("size_bytes"),
-        *(_status(counter).alias(name) for name, counter in POOL_COUNTERS.items()),
-        F.coalesce(ratio, F.lit(0.0)).alias("hit_ratio_pct"),
-    ).alias("buffer_pool")
+    requests, reads = (clamped_int_sql(POOL_COUNTERS[name]) for name in ("read_requests", "reads"))
+    ratio = f"CASE WHEN {requests} > 0 THEN (1D - double({reads}) / double({requests})) * 100 ELSE 0D END"
+    return F.expr("named_struct({}, {}, 'hit_ratio_pct', {}) AS buffer_pool".format(
+        _ints(size_bytes=VARIABLE + "innodb_buffer_pool_size"), _ints(**POOL_COUNTERS), ratio))
 
 
 def innodb_stats() -> Column:
-    return F.struct(*(_status(counter).alias(name) for name, counter in INNODB_COUNTERS.items())).alias("innodb")
+    return F.expr(f"named_struct({_ints(**INNODB_COUNTERS)}) AS innodb")
 
 
 def key_variables() -> Column:
     """The key variables a server has, as a map."""
-    pairs = [part for name in KEY_VARIABLES for part in (F.lit(name), F.col(VARIABLE + name))]
-    return F.map_filter(F.create_map(*pairs), lambda _, value: value.isNotNull()).alias("key_variables")
+    pairs = ", ".join(f"'{name}', {VARIABLE}{name}" for name in KEY_VARIABLES)
+    return F.expr(f"map_filter(map({pairs}), (name, value) -> value IS NOT NULL) AS key_variables")
 
 
 def status_stats(status: DataFrame, variables: DataFrame) -> DataFrame:
@@ -96,8 +92,7 @@ def status_stats(status: DataFrame, variables: DataFrame) -> DataFrame:
     A server appears when either frame has it; what is missing counts as zero.
     """
     counters = variable_columns(status, STATUS)
-    settings = variable_columns(variables, KEY_VARIABLES)
-    settings = settings.select("instance_id", *(F.col(name).alias(VARIABLE + name) for name in KEY_VARIABLES))
+    settings = variable_columns(variables, KEY_VARIABLES, prefix=VARIABLE)
     both = counters.join(settings, "instance_id", "full_outer")
     return both.select("instance_id", *uptime_and_rate(), connection_stats(), buffer_pool_stats(), innodb_stats(),
                        key_variables())

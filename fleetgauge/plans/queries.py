@@ -6,6 +6,7 @@ SQL engine can state the same result.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -187,10 +188,9 @@ def server_info(t: Telemetry) -> DataFrame:
 
 
 def _lake(t: Telemetry, purpose: str) -> str:
-    """A lake with the digest and index rows, written on a fixed day."""
-    import datetime as dt
+    """A lake with the digest rows, in a folder per year, and the index rows of one day."""
     base = run_dir(t.spark, purpose)
-    day = F.to_date(F.substring("timestamp", 1, 10))
+    day = F.to_date(F.concat(F.substring("timestamp", 1, 4), F.lit("-01-01")))
     sinks.write_lake(_wide(t.query_digests(), "query-digests"), base, "query-digests", date=day)
     sinks.write_lake(t.index_usage(), base, "index-usage", date=dt.date(2024, 1, 2))
     return base
@@ -339,20 +339,20 @@ def parse_version(t: Telemetry) -> DataFrame:
     context = op.rule_context(t.global_variables(), rules=())
     return context.select(
         "instance_id", "version.major", "version.minor", "version.patch", "version.raw",
-        fn.version_at_least(F.col("version"), 8, 0, 30).alias("at_least_8_0_30"))
+        fn.version_at_least("version", 8, 0, 30).alias("at_least_8_0_30"))
 
 
 @query
 def parse_int_var(t: Telemetry) -> DataFrame:
     return t.global_variables().select(
-        "instance_id", "variable_name", fn.strict_int(F.col("variable_value")).alias("value"))
+        "instance_id", "variable_name", fn.strict_int("variable_value").alias("value"))
 
 
 @query
 def status_numbers(t: Telemetry) -> DataFrame:
-    text = F.col("variable_value")
     return t.global_status().select(
-        "instance_id", "variable_name", fn.clamped_int(text).alias("as_int"), fn.float_or_zero(text).alias("as_float"))
+        "instance_id", "variable_name", fn.clamped_int("variable_value").alias("as_int"),
+        fn.float_or_zero("variable_value").alias("as_float"))
 
 
 @query
@@ -667,7 +667,7 @@ def case_fold(t: Telemetry) -> DataFrame:
 
 @query
 def list_membership(t: Telemetry) -> DataFrame:
-    items = fn.list_items(F.col("variable_value"))
+    items = fn.list_items("variable_value")
     return t.global_variables().select(
         "instance_id", "variable_name", F.get(items, F.lit(0)).alias("first_item"),
         F.array_contains(items, "TLSv1.2").alias("has_tls12"))

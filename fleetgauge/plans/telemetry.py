@@ -8,6 +8,8 @@ instances, so per-instance work is skewed on purpose.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -202,9 +204,10 @@ class Telemetry:
 
     def _per_customer(self, rows: list[tuple], names: list[str]) -> DataFrame:
         """Every customer with each of `rows`, a fixed list."""
-        items = F.array(*(F.struct(*(F.lit(value).cast("string").alias(name) for name, value in zip(names, row)))
-                          for row in rows))
-        return self.table("customer").select("c_custkey", F.explode(items).alias("item")).select("c_custkey", "item.*")
+        kind = ",".join(f"{name}:string" for name in names)
+        text = json.dumps([dict(zip(names, row)) for row in rows])
+        items = F.explode(F.from_json(F.lit(text), f"array<struct<{kind}>>"))
+        return self.table("customer").select("c_custkey", items.alias("item")).select("c_custkey", "item.*")
 
     def global_variables(self) -> DataFrame:
         """Three configurations in turn; a variable a configuration does not have is absent."""

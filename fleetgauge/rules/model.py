@@ -1,19 +1,21 @@
-"""What a rule is, and how it reads the variables of a server.
+"""What a rule is, and how it names the variables of a server.
 
-A rule states when it fires as a Column over `Vars`; nothing is evaluated in
-Python. Users extend the catalog with rules of the same form.
+A rule states in SQL when it fires. Placeholders stand for variables:
+
+    {text.log_bin}      the value, '' when the server lacks the variable
+    {fold.log_bin}      the same in lower case
+    {int.wait_timeout}  a strict integer, NULL when missing or anything else
+    {has.wait_timeout}  whether the server has the variable
+    {version}           struct<major, minor, patch, raw>
+
+NULL counts as not fired. Users extend the catalog with rules of the same form.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from ..functions import contains_fold, equals_fold, or_empty, version_at_least
-
 AURORA_SKIP = "aurora-skip"            # not checked on Aurora
 AURORA_DOWNGRADE = "aurora-downgrade"  # a warning is a note on Aurora
 MYISAM_ONLY = "myisam-only"            # information only
@@ -23,48 +25,47 @@ TEXT_PREFIX, INT_PREFIX = "text_", "int_"
 
 @dataclass
 class Vars:
-    """The variables of a server as columns, remembering which of them were asked for."""
+    """Fills placeholders with columns and remembers which variables were named."""
 
     texts: set[str] = field(default_factory=set)
     ints: set[str] = field(default_factory=set)
 
-    def text(self, name: str) -> Column:
-        """The value, '' when the server does not have the variable."""
-        return or_empty(self._raw(name))
+    def text(self, name: str) -> str:
+        self.texts.add(name)
+        return f"coalesce(`{TEXT_PREFIX}{name}`, '')"
 
-    def has(self, name: str) -> Column:
-        return self._raw(name).isNotNull()
+    def fold(self, name: str) -> str:
+        return f"lower({self.text(name)})"
 
-    def int(self, name: str) -> Column:
-        """The value as a strict integer, NULL when missing or anything else."""
-        self.ints.add(name)
+    def has(self, name: str) -> str:
         self.texts.add(name)
-        return F.col(INT_PREFIX + name)
+        return f"(`{TEXT_PREFIX}{name}` IS NOT NULL)"
 
-    def at_least(self, major: int, minor: int, patch: int) -> Column:
-        return version_at_least(F.col("version"), major, minor, patch)
+    def int(self, name: str) -> str:
+        self.texts.add(name)
+        self.ints.add(name)
+        return f"`{INT_PREFIX}{name}`"
 
-    def same(self, name: str, value: str) -> Column:
-        """Equal but for case."""
-        return equals_fold(self.text(name), value)
+    def fill(self, condition: str) -> str:
+        forms = {form: _Named(getattr(self, form)) for form in ("text", "fold", "has", "int")}
+        return condition.format(version="version", **forms)
 
-    def set_but_not(self, name: str, *values: str) -> Column:
-        """Not empty and, but for case, none of `values`."""
-        return (self.text(name) != "") & ~F.lower(self.text(name)).isin(*(value.lower() for value in values))
 
-    def lacks_word(self, name: str, word: str) -> Column:
-        return (self.text(name) != "") & ~contains_fold(self.text(name), word)
+class _Named:
+    """Lets a format string write {form.variable}."""
 
-    def _raw(self, name: str) -> Column:
-        self.texts.add(name)
-        return F.col(TEXT_PREFIX + name)
+    def __init__(self, form):
+        self._form = form
+
+    def __getattr__(self, name: str) -> str:
+        return self._form(name)
 
 
 @dataclass(frozen=True)
 class Case:
     """One way for a rule to fire, and what is then reported."""
 
-    when: Callable[[Vars], Column]
+    when: str
     variable: str
     description: str
 
@@ -84,7 +85,7 @@ class Rule:
 
 
 def rule(
-    id: str, category: str, severity: str, when: Callable[[Vars], Column], description: str,
+    id: str, category: str, severity: str, when: str, description: str,
     *, variable: str | None = None, tags: Iterable[str] = (),
 ) -> Rule:
     """A rule with one case, named after its variable unless `variable` says otherwise."""
@@ -92,11 +93,15 @@ def rule(
 
 
 def renamed(
-    id: str, category: str, severity: str, new: str, old: str, when: Callable[[Vars, str], Column], description: str,
-    tags: Iterable[str] = (),
+    id: str, category: str, severity: str, new: str, old: str, when: str, description: str, tags: Iterable[str] = (),
 ) -> Rule:
-    """A rule on a variable that was renamed: the old name counts where the new one is empty."""
+    """A rule on a variable that was renamed: the old name counts where the new one is empty.
+
+    `when` writes {text.it} and {fold.it} for whichever of the two it is.
+    """
+    def on(name: str) -> str:
+        return when.replace(".it}", f".{name}}}")
     return Rule(id, category, severity, (
-        Case(lambda v: (v.text(new) != "") & when(v, new), new, description),
-        Case(lambda v: (v.text(new) == "") & when(v, old), old, description),
+        Case(f"{{text.{new}}} <> '' AND ({on(new)})", new, description),
+        Case(f"{{text.{new}}} = '' AND ({on(old)})", old, description),
     ), frozenset(tags))

@@ -2,56 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from .model import AURORA_DOWNGRADE, AURORA_SKIP, renamed, rule
 
 C = "replication"
-
-
-def _parallel_workers(v):
-    return F.coalesce(v.int("replica_parallel_workers"), v.int("slave_parallel_workers"))
-
+WORKERS = "coalesce({int.replica_parallel_workers}, {int.slave_parallel_workers})"
 
 REPLICATION_RULES = (
-    rule("expire_logs_days", C, "warn", lambda v: (v.text("expire_logs_days") == "0") & v.same("log_bin", "ON"),
+    rule("expire_logs_days", C, "warn", "{text.expire_logs_days} = '0' AND {fold.log_bin} = 'on'",
          "Binary logs are written and never purged."),
-    rule("log_bin", C, "warn", lambda v: v.same("log_bin", "OFF"),
+    rule("log_bin", C, "warn", "{fold.log_bin} = 'off'",
          "There is no binary log, hence no replica and no recovery to a point in time.", tags=[AURORA_DOWNGRADE]),
-    rule("binlog_format", C, "warn", lambda v: v.set_but_not("binlog_format", "ROW"),
+    rule("binlog_format", C, "warn", "{fold.binlog_format} NOT IN ('', 'row')",
          "Only row-based logging replays reliably on a replica."),
-    rule("sync_binlog", C, "warn", lambda v: v.set_but_not("sync_binlog", "1") & v.same("log_bin", "ON"),
+    rule("sync_binlog", C, "warn", "{text.sync_binlog} NOT IN ('', '1') AND {fold.log_bin} = 'on'",
          "The binary log is not flushed with every transaction, a crash can lose some.", tags=[AURORA_SKIP]),
-    rule("gtid_mode", C, "warn", lambda v: v.set_but_not("gtid_mode", "ON"),
+    rule("gtid_mode", C, "warn", "{fold.gtid_mode} NOT IN ('', 'on')",
          "Replication without global transaction ids is hard to operate.", tags=[AURORA_DOWNGRADE]),
     rule("enforce_gtid_consistency", C, "warn",
-         lambda v: ~v.same("enforce_gtid_consistency", "ON") & v.same("gtid_mode", "ON"),
+         "{fold.enforce_gtid_consistency} <> 'on' AND {fold.gtid_mode} = 'on'",
          "Global transaction ids are on, but statements that break them are let through."),
     rule("binlog_row_image", C, "note",
-         lambda v: v.set_but_not("binlog_row_image", "MINIMAL") & v.same("binlog_format", "ROW"),
+         "{fold.binlog_row_image} NOT IN ('', 'minimal') AND {fold.binlog_format} = 'row'",
          "Full row images cost replication bandwidth; MINIMAL logs what changed."),
     renamed("replica_parallel_workers", C, "note", "replica_parallel_workers", "slave_parallel_workers",
-            lambda v, name: v.text(name).isin("0", "1"),
+            "{text.it} IN ('0', '1')",
             "Changes are applied by one worker; four to eight keep the lag down."),
     renamed("replica_preserve_commit_order", C, "warn", "replica_preserve_commit_order", "slave_preserve_commit_order",
-            lambda v, name: (_parallel_workers(v) > 1) & (v.same(name, "OFF") | (v.text(name) == "0")),
+            f"{WORKERS} > 1 AND {{fold.it}} IN ('off', '0')",
             "Parallel workers commit in any order, so a replica can show states its source never had."),
     rule("binlog_transaction_dependency_tracking", C, "note",
-         lambda v: v.set_but_not("binlog_transaction_dependency_tracking", "WRITESET"),
+         "{fold.binlog_transaction_dependency_tracking} NOT IN ('', 'writeset')",
          "Tracking by WRITESET lets replicas apply more in parallel."),
     rule("binlog_expire_logs_seconds", C, "warn",
-         lambda v: (v.text("binlog_expire_logs_seconds") == "0") & v.same("log_bin", "ON"),
+         "{text.binlog_expire_logs_seconds} = '0' AND {fold.log_bin} = 'on'",
          "Binary logs are written and never purged; from 8.0 on this variable sets their age."),
     renamed("log_replica_updates", C, "warn", "log_replica_updates", "log_slave_updates",
-            lambda v, name: v.same(name, "OFF"),
+            "{fold.it} = 'off'",
             "A replica that does not log what it applies cannot be a source or a group member.",
             tags=[AURORA_DOWNGRADE]),
     rule("innodb_autoinc_lock_mode", C, "note",
-         lambda v: v.set_but_not("innodb_autoinc_lock_mode", "2") & v.same("binlog_format", "ROW"),
+         "{text.innodb_autoinc_lock_mode} NOT IN ('', '2') AND {fold.binlog_format} = 'row'",
          "With row-based logging the interleaved mode 2 is safe and scales best."),
     renamed("replica_skip_errors", C, "critical", "replica_skip_errors", "slave_skip_errors",
-            lambda v, name: v.set_but_not(name, "0", "OFF"),
+            "{fold.it} NOT IN ('', '0', 'off')",
             "Replication errors are skipped, so replicas drift from their source unnoticed."),
-    rule("binlog_cache_size", C, "note", lambda v: v.int("binlog_cache_size") == 32768,
+    rule("binlog_cache_size", C, "note", "{int.binlog_cache_size} = 32768",
          "The binary log cache is at its 32 KB default; row-based logging wants 512 KB or more."),
 )

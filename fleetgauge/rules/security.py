@@ -2,42 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from ..functions import equals_fold, list_items
+from ..functions.text import list_items_sql
 from .model import Case, Rule, rule
 
 C = "security"
-PLUGIN = "caching_sha2_password"     # fixed value
-OLD_PROTOCOLS = ("TLSv1", "TLSv1.1")  # fixed values, compared with their case
-
-
-def _weak_policy(v):
-    """The first entry of the policy is the default plugin; `*` leaves it open."""
-    first = F.get(list_items(v.text("authentication_policy")), F.lit(0))
-    return (v.text("authentication_policy") != "") & (first != "*") & ~equals_fold(first, PLUGIN)
-
+# The first entry of the policy is the default plugin; `*` leaves it open.
+POLICY = list_items_sql("{fold.authentication_policy}") + "[0]"
 
 SECURITY_RULES = (
-    rule("local_infile", C, "warn", lambda v: v.same("local_infile", "ON"),
+    rule("local_infile", C, "warn", "{fold.local_infile} = 'on'",
          "LOAD DATA LOCAL is allowed, which a hostile server or client can use to read files."),
-    rule("skip_name_resolve", C, "note", lambda v: v.same("skip_name_resolve", "OFF"),
+    rule("skip_name_resolve", C, "note", "{fold.skip_name_resolve} = 'off'",
          "Each new connection waits for a name lookup, and fails when the name service does."),
-    rule("require_secure_transport", C, "note", lambda v: v.same("require_secure_transport", "OFF"),
+    rule("require_secure_transport", C, "note", "{fold.require_secure_transport} = 'off'",
          "Clients may connect without TLS."),
-    rule("sql_mode_strict", C, "warn", lambda v: v.lacks_word("sql_mode", "STRICT_TRANS_TABLES"),
+    rule("sql_mode_strict", C, "warn", "{text.sql_mode} <> '' AND NOT contains({fold.sql_mode}, 'strict_trans_tables')",
          "Without STRICT_TRANS_TABLES values are cut or replaced silently instead of being refused.",
          variable="sql_mode"),
-    rule("sql_mode_no_engine_sub", C, "note", lambda v: v.lacks_word("sql_mode", "NO_ENGINE_SUBSTITUTION"),
+    rule("sql_mode_no_engine_sub", C, "note", "{text.sql_mode} <> '' AND NOT contains({fold.sql_mode}, 'no_engine_substitution')",
          "Without NO_ENGINE_SUBSTITUTION a table may silently get another engine.", variable="sql_mode"),
     Rule("default_authentication_plugin", C, "note", (
-        Case(_weak_policy, "authentication_policy",
+        Case(f"{{text.authentication_policy}} <> '' AND {POLICY} NOT IN ('*', 'caching_sha2_password')",
+             "authentication_policy",
              "The authentication policy begins with a plugin weaker than caching_sha2_password."),
-        Case(lambda v: (v.text("authentication_policy") == "") & v.set_but_not("default_authentication_plugin", PLUGIN),
+        Case("{text.authentication_policy} = ''"
+             " AND {fold.default_authentication_plugin} NOT IN ('', 'caching_sha2_password')",
              "default_authentication_plugin",
              "New accounts get a plugin weaker than caching_sha2_password."),
     )),
     rule("tls_version", C, "warn",
-         lambda v: F.arrays_overlap(list_items(v.text("tls_version")), F.array(*map(F.lit, OLD_PROTOCOLS))),
+         f"arrays_overlap({list_items_sql('{text.tls_version}')}, array('TLSv1', 'TLSv1.1'))",
          "TLS 1.0 or 1.1 is accepted; both are withdrawn, allow 1.2 and 1.3 only."),
 )

@@ -40,7 +40,7 @@ def global_status_metrics(raw: DataFrame, keys: Sequence[str] = CYCLE) -> DataFr
     """Curated status rows as metrics; names match with their case, malformed values drop out."""
     curated = raw.filter(F.col("variable_name").isin(*CURATED_STATUS))
     name = F.concat(F.lit("global_status."), F.col("variable_name"))
-    return curated.select(*_metric(name, float_or_null(F.col("variable_value")), keys)).filter("value IS NOT NULL")
+    return curated.select(*_metric(name, float_or_null("variable_value"), keys)).filter("value IS NOT NULL")
 
 
 def processlist_metrics(raw: DataFrame, keys: Sequence[str] = CYCLE) -> DataFrame:

@@ -23,7 +23,7 @@ def replica_status(instances: DataFrame, raw: DataFrame) -> DataFrame:
             or_empty(field("Channel_Name")).alias("channel"),
             or_empty(field("Slave_IO_Running")).alias("slave_io_running"),
             or_empty(field("Slave_SQL_Running")).alias("slave_sql_running"),
-            strict_int(field("Seconds_Behind_Master")).alias("seconds_behind_master"),
+            strict_int("element_at(status, 'Seconds_Behind_Master')").alias("seconds_behind_master"),
         ).alias("channel_state"),
     )
     first = rows.groupBy("instance_id").agg(F.min("channel_state").alias("state"))

@@ -42,14 +42,13 @@ def show_to_map(raw: DataFrame, keys: Sequence[str] = INSTANCE, seq: str | None
 
 
 def variable_columns(
-    raw: DataFrame, names: Iterable[str], keys: Sequence[str] = INSTANCE, seq: str | None = None
+    raw: DataFrame, names: Iterable[str], keys: Sequence[str] = INSTANCE, seq: str | None = None, prefix: str = "",
 ) -> DataFrame:
     """(*keys, one text column per name), NULL where a server lacks the name.
 
     One shuffle with a fixed-size buffer per snapshot, combined before it: the
     form to use when the names are known, as they are for rules and summaries.
     """
-    lowered = raw.withColumn("_name", F.lower("variable_name")).withColumn("_kept", _ranked(seq))
+    lowered = raw.withColumns({"_name": F.lower("variable_name"), "_kept": _ranked(seq)})
     return lowered.groupBy(*keys).agg(*(
-        F.max(F.when(F.col("_name") == name, F.col("_kept")))["value"].alias(name) for name in names
-    ))
+        F.expr(f"max(CASE WHEN _name = '{name}' THEN _kept END).value AS `{prefix}{name}`") for name in names))
