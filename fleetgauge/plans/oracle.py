@@ -47,6 +47,8 @@ _BASE_TABLES = """SELECT instance_id, table_schema AS schema_name, table_name, c
 _KEY_VARIABLES = ("'innodb_buffer_pool_size', 'max_connections', 'innodb_log_file_size', 'innodb_flush_method', "
                   "'innodb_file_per_table', 'slow_query_log', 'long_query_time'")
 _HIT_RATIO = "CASE WHEN questions > 0 THEN (1 - CAST(running AS DOUBLE) / questions) * 100 ELSE 0.0::DOUBLE END"
+_ENGINES = ('[{"engine":"InnoDB","support":"DEFAULT","transactions":"YES"},'
+            '{"engine":"MEMORY","support":"YES","transactions":""},{"engine":"MyISAM","support":"YES","transactions":"NO"}]')
 _SIZES = """SELECT instance_id, string_agg(schema || ':' || tables || ':' || size_bytes, ';' ORDER BY size_bytes DESC, schema)
     AS schema_stats FROM schema_sizes GROUP BY ALL"""
 
@@ -295,6 +297,16 @@ ORACLE: dict[str, str] = {
     "key_variables": over_views(f"""
         SELECT instance_id, lower(variable_name) AS name, variable_value AS value FROM global_variables
         WHERE lower(variable_name) IN ({_KEY_VARIABLES})"""),
+    "fleet_summary": over_views(f"""
+        SELECT s.instance_id, max_connections::BIGINT AS max_connections, running AS current_active,
+               connected - running AS current_sleeping, connections AS total_connections, 0::BIGINT AS aborted_connects,
+               pool_size AS size_bytes, questions AS read_requests, 0::BIGINT AS deadlocks, slave_io_running,
+               slave_sql_running, '{_ENGINES}' AS engines, schema_stats,
+               CASE s.k % 3 WHEN 0 THEN 'fsync' WHEN 1 THEN 'o_direct' END AS flush_method
+        FROM servers s JOIN stats USING (instance_id) JOIN replicas USING (instance_id)
+        LEFT JOIN (SELECT instance_id, '[' || string_agg('{{"schema":"' || schema || '","tables":' || tables ||
+                          ',"size_bytes":' || size_bytes || '}}', ',' ORDER BY size_bytes DESC, schema) || ']' AS schema_stats
+                   FROM schema_sizes GROUP BY ALL) USING (instance_id)"""),
     "buffer_lifespan": over_views("""
         SELECT *, CASE WHEN oldest_timer <> 0 AND newest_timer > oldest_timer THEN (newest_timer - oldest_timer) // 1000
                        ELSE 0 END AS lifespan_ns FROM bounds""", bounds=BOUNDS),

@@ -568,9 +568,13 @@ def key_variables(t: Telemetry) -> DataFrame:
 
 @query
 def fleet_summary(t: Telemetry) -> DataFrame:
+    """The nested parts of the summary, written out per server."""
     return _summary(t).select(
-        "instance_id", F.to_json(F.struct("connections", "buffer_pool", "replication", "engines", "schema_stats"),
-                                 {"ignoreNullFields": "false"}).alias("json"))
+        "instance_id", "connections.*", "buffer_pool.size_bytes", "buffer_pool.read_requests", "innodb.deadlocks",
+        "replication.slave_io_running", "replication.slave_sql_running",
+        F.to_json(F.col("engines"), {"ignoreNullFields": "false"}).alias("engines"),
+        F.to_json(F.col("schema_stats"), {"ignoreNullFields": "false"}).alias("schema_stats"),
+        F.element_at("key_variables", F.lit("innodb_flush_method")).alias("flush_method"))
 
 
 @query
