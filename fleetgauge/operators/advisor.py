@@ -1,6 +1,6 @@
 """Configuration findings for every server snapshot.
 
-One pass: variables become typed columns (one shuffle), every rule is a condition
+One pass: variables become typed columns (small, combined shuffles), every rule is a condition
 over them, and texts come from a literal array, so there is neither a join with
 the catalog nor a loop over rules or servers at run time.
 """

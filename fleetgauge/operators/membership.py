@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .skew import with_group
+
 
 def topology_diff(current: DataFrame, discovered: DataFrame) -> DataFrame:
     """(cluster_id, server_id, endpoint, status): kept, added or removed.
@@ -23,7 +25,7 @@ def topology_diff(current: DataFrame, discovered: DataFrame) -> DataFrame:
         (listed & (known | F.coalesce("_reachable", F.lit(False)))).alias("_usable"),
         F.coalesce("_old", "_new").alias("endpoint"),
     ).filter("_known OR _usable")
-    believed = members.groupBy("cluster_id").agg(F.bool_or("_usable").alias("_believed"))
+    members = with_group(members, ["cluster_id"], F.col("server_id"), _believed=F.bool_or("_usable"))
     status = (F.when(F.col("_known") & (F.col("_usable") | ~F.col("_believed")), F.lit("kept"))
               .when(F.col("_known"), F.lit("removed")).otherwise(F.lit("added")))
-    return members.join(believed, "cluster_id").select("cluster_id", "server_id", "endpoint", status.alias("status"))
+    return members.select("cluster_id", "server_id", "endpoint", status.alias("status"))

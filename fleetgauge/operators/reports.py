@@ -1,4 +1,8 @@
-"""The documented analyses. Top-k reports break ties by key, so they are repeatable."""
+"""The documented analyses.
+
+Orders end with key columns: results are repeatable, and rows that agree on the
+reported value still spread over the tasks of a sort.
+"""
 
 from __future__ import annotations
 
@@ -71,29 +75,30 @@ def write_heavy_indexes(usage: DataFrame, more_than: int = 1_000_000, limit: int
 
 def all_metrics(metrics: DataFrame) -> DataFrame:
     """Every metric row, newest first."""
-    return metrics.select("metric_name", "value", "timestamp").orderBy(F.desc("timestamp"), "metric_name")
+    return metrics.orderBy(F.desc("timestamp"), "metric_name", "instance_id").select("metric_name", "value", "timestamp")
 
 
 def metric_series(metrics: DataFrame, name: str = "global_status.Threads_running") -> DataFrame:
     """One metric over time."""
-    return metrics.filter(F.col("metric_name") == name).select("timestamp", "value").orderBy("timestamp")
+    return metrics.filter(F.col("metric_name") == name).orderBy("timestamp", "instance_id").select("timestamp", "value")
 
 
 def metric_like(metrics: DataFrame, pattern: str = "global_status.Innodb_rows_%") -> DataFrame:
     """Metrics whose name matches a LIKE pattern (`_` is any one character), highest first."""
     found = metrics.filter(F.col("metric_name").like(pattern))
-    return found.select("metric_name", "value").orderBy(F.desc("value"), "metric_name")
+    ordered = found.orderBy(F.desc("value"), "metric_name", "instance_id", "timestamp")
+    return ordered.select("metric_name", "value")
 
 
 def instance_queries(metrics: DataFrame, name: str = "global_status.Queries") -> DataFrame:
-    return metrics.filter(F.col("metric_name") == name).select(
-        "instance_id", F.col("value").alias("queries")).orderBy("instance_id", "queries")
+    return metrics.filter(F.col("metric_name") == name).orderBy("instance_id", "timestamp").select(
+        "instance_id", F.col("value").alias("queries"))
 
 
 def instance_connections(metrics: DataFrame, name: str = "global_status.Threads_connected") -> DataFrame:
     """Connections per instance, most first."""
-    return metrics.filter(F.col("metric_name") == name).select(
-        "instance_id", F.col("value").alias("threads_connected")).orderBy(F.desc("threads_connected"), "instance_id")
+    return metrics.filter(F.col("metric_name") == name).orderBy(F.desc("value"), "instance_id", "timestamp").select(
+        "instance_id", F.col("value").alias("threads_connected"))
 
 
 def _wait_sums(waits: DataFrame, count_name: str, wait_name: str) -> DataFrame:

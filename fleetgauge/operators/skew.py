@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HOT_KEYS = 1000  # upper bound of the broadcast key list
+HOT_GROUP = 1_000_000
 SLICES = 64
 
 
@@ -23,6 +24,18 @@ def hot_keys(rows: DataFrame, keys: Sequence[str], fraction: float = 0.01, at_le
     return counted.orderBy(F.desc("_n")).limit(HOT_KEYS).select(*keys)
 
 
+def with_group(rows: DataFrame, keys: Sequence[str], spread_by: Column, **totals: Column) -> DataFrame:
+    """Rows with aggregates of their group beside them.
+
+    A window would bring a whole group into one task. Here the aggregates are
+    combined before the shuffle and joined back; their counts tell exactly
+    which groups are so large that their rows have to be spread.
+    """
+    groups = rows.groupBy(*keys).agg(F.count("*").alias("_n"), *(total.alias(name) for name, total in totals.items()))
+    hot = groups.filter(F.col("_n") >= HOT_GROUP).orderBy(F.desc("_n")).limit(HOT_KEYS).select(*keys)
+    return spread_join(rows, groups.drop("_n"), keys, spread_by, hot=hot)
+
+
 def spread_join(
     rows: DataFrame,
     lookup: DataFrame,

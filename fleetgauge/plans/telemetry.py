@@ -207,7 +207,11 @@ class Telemetry:
         kind = ",".join(f"{name}:string" for name in names)
         text = json.dumps([dict(zip(names, row)) for row in rows])
         items = F.explode(F.from_json(F.lit(text), f"array<struct<{kind}>>"))
-        return self.table("customer").select("c_custkey", items.alias("item")).select("c_custkey", "item.*")
+        return self._customers().select("c_custkey", items.alias("item")).select("c_custkey", "item.*")
+
+    def _customers(self) -> DataFrame:
+        """Customers spread over the cores before each of them becomes many rows."""
+        return self.table("customer").repartition(self.spark.sparkContext.defaultParallelism, "c_custkey")
 
     def global_variables(self) -> DataFrame:
         """Three configurations in turn; a variable a configuration does not have is absent."""
@@ -231,7 +235,7 @@ class Telemetry:
         }
         entries = F.array(*(F.struct(F.lit(name).alias("variable_name"), value.alias("variable_value"))
                             for name, value in values.items()))
-        return self.table("customer").select(
+        return self._customers().select(
             instance(key).alias("instance_id"), cluster(key % 2).alias("cluster_id"),
             F.lit("2024-01-01 00:00:00").alias("timestamp"), F.explode(entries).alias("e"),
         ).select("instance_id", "cluster_id", "timestamp", "e.*")

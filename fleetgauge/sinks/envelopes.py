@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.advisor import severity_rank
-from ..operators.skew import HOT_KEYS, spread_join
+from ..operators.skew import with_group
 
 KEEP_NULLS = {"ignoreNullFields": "false"}
 TOOL_VERSION = "fleetgauge-1.0"
@@ -47,11 +47,8 @@ def _run_id(seed: str, *parts: Column) -> Column:
 
 def _pieces(findings: DataFrame, row_id: Column, per_envelope: int) -> DataFrame:
     """Numbers the envelopes of instances with more findings than one may hold."""
-    counts = findings.groupBy("instance_id").agg(F.count("*").alias("_n"))
-    hot = counts.filter(F.col("_n") >= 1_000_000).orderBy(F.desc("_n")).limit(HOT_KEYS)
-    numbers = counts.select("instance_id", F.ceil(F.col("_n") / per_envelope).cast("int").alias("_pieces"))
-    joined = spread_join(findings, numbers, ["instance_id"], row_id, hot=hot)
-    return joined.withColumn("_piece", F.pmod(F.xxhash64(row_id), F.col("_pieces")))
+    pieces = F.ceil(F.count("*") / per_envelope).cast("int")
+    return with_group(findings, ["instance_id"], row_id, _pieces=pieces).withColumn("_piece", F.pmod(F.xxhash64(row_id), F.col("_pieces")))
 
 
 def _finding_payloads(

@@ -17,17 +17,16 @@ def topology(clusters: DataFrame, replica_hosts: DataFrame) -> DataFrame:
     server_id, session_id). A cluster without member rows is one writer that is
     reached at the cluster endpoint itself.
     """
-    hosts = replica_hosts.select("cluster_id", "server_id", "session_id", F.lit(True).alias("_listed"))
-    joined = clusters.select("cluster_id", F.col("endpoint").alias("_endpoint")).join(hosts, "cluster_id", "left")
+    addressed = clusters.select("cluster_id", F.col("endpoint").alias("_endpoint"))
     suffix = dns_suffix(F.col("_endpoint"))
-    listed = F.coalesce("_listed", F.lit(False))
-    address = F.when(suffix != "", F.concat("server_id", F.lit("."), suffix)).otherwise(F.col("server_id"))
-    return joined.select(
-        "cluster_id",
-        F.when(listed, F.col("server_id")).otherwise(F.col("_endpoint")).alias("server_id"),
-        F.when(listed, address).otherwise(F.col("_endpoint")).alias("endpoint"),
-        (~listed | (or_empty(F.col("session_id")) == WRITER_SESSION)).alias("is_writer"),
-    )
+    members = replica_hosts.join(addressed, "cluster_id").select(
+        "cluster_id", "server_id",
+        F.when(suffix != "", F.concat("server_id", F.lit("."), suffix)).otherwise(F.col("server_id")).alias("endpoint"),
+        (or_empty(F.col("session_id")) == WRITER_SESSION).alias("is_writer"))
+    alone = addressed.join(replica_hosts.select("cluster_id").distinct(), "cluster_id", "left_anti").select(
+        "cluster_id", F.col("_endpoint").alias("server_id"), F.col("_endpoint").alias("endpoint"),
+        F.lit(True).alias("is_writer"))
+    return members.unionByName(alone)
 
 
 def host_identity(override: Column, aurora_server_id: Column, hostname: Column, target: Column) -> Column:

@@ -8,6 +8,7 @@ how Spark happened to read the files.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -46,9 +47,20 @@ def variable_columns(
 ) -> DataFrame:
     """(*keys, one text column per name), NULL where a server lacks the name.
 
-    One shuffle with a fixed-size buffer per snapshot, combined before it: the
-    form to use when the names are known, as they are for rules and summaries.
+    The form to use when the names are known, as they are for rules and
+    summaries: the buffers have a fixed size and are combined before a shuffle.
+    An aggregate rewrites its whole buffer for every row, so many names are
+    taken in two steps, first into the columns of about as many groups as there
+    are columns. Rows with other names fall into one group and cost little.
     """
-    lowered = raw.withColumns({"_name": F.lower("variable_name"), "_kept": _ranked(seq)})
-    return lowered.groupBy(*keys).agg(*(
-        F.expr(f"max(CASE WHEN _name = '{name}' THEN _kept END).value AS `{prefix}{name}`") for name in names))
+    wanted = list(names)
+    width = max(1, math.ceil(math.sqrt(len(wanted)))) if len(wanted) > 16 else max(1, len(wanted))
+    place = f"array_position(array({', '.join(map(repr, wanted))}), lower(variable_name))" if wanted else "0L"
+    placed = raw.withColumn("_place", F.expr(place)).select(
+        *keys, F.expr(f"CAST(ceil(_place / {width}) AS INT) AS _group"), F.expr(f"CAST(_place % {width} AS INT) AS _slot"),
+        F.when(F.col("_place") > 0, _ranked(seq)).alias("_kept"))
+    grouped = placed.groupBy(*keys, "_group").agg(F.lit(0).alias("_"), *(
+        F.expr(f"max(CASE WHEN _slot = {slot} THEN _kept END).value AS _slot{slot}") for slot in range(width)))
+    return grouped.groupBy(*keys).agg(F.lit(0).alias("_"), *(
+        F.expr(f"max(CASE WHEN _group = {-(-n // width)} THEN _slot{n % width} END) AS `{prefix}{name}`")
+        for n, name in enumerate(wanted, 1))).drop("_")

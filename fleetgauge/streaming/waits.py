@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import or_empty
+from ..functions import or_empty, utc_text
 
 KEYS = ("instance_id", "cluster_id", "parent_digest", "event_name")
 
@@ -15,27 +15,29 @@ def stream_wait_summary(
 ) -> DataFrame:
     """Streams of waits and samples, both with `event_time`, to wait-event rows (append mode).
 
-    A wait lies between the start of its statement and `longest_statement` after
-    it, which lets Spark drop old state. Rows later than `lateness` are dropped.
-    Waits outside any statement never match and go around the join, otherwise
-    they would all sit in the state of one key.
+    The waits of a statement are summed per event and bucket before the join, so
+    neither a statement with very many waits nor the waits outside any statement
+    (nesting id 0, which never match) pile up in the state of one key. A bucket
+    lies between the start of its statement and `longest_statement` after it,
+    which lets Spark drop old state. Rows later than `lateness` are dropped.
     """
-    timed = waits.withWatermark("event_time", lateness)
-    outside = F.coalesce(F.col("nesting_event_id") == 0, F.lit(True))
+    by_parent = waits.withWatermark("event_time", lateness).groupBy(
+        "instance_id", "cluster_id", F.coalesce("nesting_event_id", F.lit(0)).alias("nesting_event_id"), "event_name",
+        F.window("event_time", "5 seconds"),
+    ).agg(F.count("*").alias("_count"), F.sum("timer_wait").alias("_wait")).select(
+        "instance_id", "cluster_id", "nesting_event_id", "event_name", "_count", "_wait",
+        F.window_time("window").alias("bucket_time"))
     parents = samples.withWatermark("event_time", lateness).dropDuplicatesWithinWatermark(
         ["instance_id", "event_id"]).select(
         F.col("instance_id").alias("_instance"), F.col("event_id").alias("_event"),
         or_empty(F.col("digest")).alias("_digest"), F.col("event_time").alias("_started"))
-    fields = ("instance_id", "cluster_id", "event_name", "timer_wait", "event_time")
-    inside = timed.filter(~outside).join(
+    tagged = by_parent.join(
         parents,
         (F.col("instance_id") == F.col("_instance")) & (F.col("nesting_event_id") == F.col("_event"))
-        & (F.col("event_time") >= F.col("_started"))
-        & (F.col("event_time") <= F.col("_started") + F.expr(f"INTERVAL {longest_statement}")),
+        & (F.col("bucket_time") >= F.col("_started"))
+        & (F.col("bucket_time") <= F.col("_started") + F.expr(f"INTERVAL {longest_statement}")),
         "left_outer",
-    ).select(*fields, or_empty(F.col("_digest")).alias("parent_digest"))
-    alone = timed.filter(outside).select(*fields, F.lit("").alias("parent_digest"))
-    return inside.unionByName(alone).groupBy(*KEYS, F.window("event_time", "5 seconds")).agg(
-        F.count("*").alias("count"), F.sum("timer_wait").alias("total_wait"),
-    ).select(*KEYS, "count", "total_wait",
-             F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("timestamp"))
+    ).withColumn("parent_digest", or_empty(F.col("_digest")))
+    return tagged.groupBy(*KEYS, F.window("bucket_time", "5 seconds")).agg(
+        F.sum("_count").alias("count"), F.sum("_wait").alias("total_wait"),
+    ).select(*KEYS, "count", "total_wait", utc_text(F.col("window.start")).alias("timestamp"))

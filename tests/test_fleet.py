@@ -152,8 +152,9 @@ def test_reports(spark):
          enumerate([(0, 5_000_000), (3, 2_000_000), (1, 40_000_000), (2_000_000, 1_000_000)])],
         "instance_id string, schema_name string, table_name string, index_name string, count_read long, count_write long, timestamp string")
     assert [r.write_read_ratio for r in write_heavy_indexes(usage).collect()] == ["40000000.0", "UNUSED", "666666.67"]
-    metrics = spark.createDataFrame([("global_status.Innodb_rows_read", 1.0), ("global_status.InnodbXrowsYread", 2.0), ("x", 3.0)],
-                                    "metric_name string, value double")
+    metrics = spark.createDataFrame([("i", "t", "global_status.Innodb_rows_read", 1.0),
+                                     ("i", "t", "global_status.InnodbXrowsYread", 2.0), ("i", "t", "x", 3.0)],
+                                    "instance_id string, timestamp string, metric_name string, value double")
     assert [r.value for r in metric_like(metrics).collect()] == [2.0, 1.0]
 
 

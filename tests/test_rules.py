@@ -211,6 +211,6 @@ def test_server_without_any_named_variable_is_still_checked(spark):
     assert [r.rule_id for r in check_variables(rows).collect()] == ["innodb_flush_method"]
 
 
-def test_one_shuffle_and_no_join(spark):
+def test_two_shuffles_and_no_join(spark):
     plan = check_variables(snapshots(spark, [{}]))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") == 1 and "Join" not in plan and "Python" not in plan
+    assert plan.count("Exchange") == 2 and "Join" not in plan and "Python" not in plan
