@@ -22,12 +22,12 @@ def instant(text: Column) -> Column:
 def five_second_bucket(text: Column) -> Column:
     """Start of the five-second bucket of a text timestamp, as text.
 
-    Minutes are a whole number of buckets, so flooring the seconds is enough;
-    unlike `window()` this keeps rows without a timestamp.
+    Minutes are a whole number of buckets, so flooring the two digits of the
+    seconds is enough. Unlike `window()` this keeps rows without a timestamp,
+    and it parses nothing.
     """
-    moment = F.to_timestamp_ntz(text)
-    into_bucket = F.extract(F.lit("SECOND"), moment) % 5
-    return (moment - F.make_dt_interval(secs=into_bucket)).cast("string")
+    seconds = F.substring(text, 18, 2).try_cast("int")
+    return F.concat(F.substring(text, 1, 17), F.lpad((seconds - seconds % 5).cast("string"), 2, "0"))
 
 
 def picos_to_seconds(picos: Column) -> Column:

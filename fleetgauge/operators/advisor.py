@@ -142,7 +142,7 @@ def findings_by_category(findings: DataFrame, keys: Sequence[str] = INSTANCE) ->
     """(*keys, category, n_findings, findings array in catalog order); at most one entry per rule."""
     entry = F.struct("ordinal", "rule_id", "severity", "variable", "current_value", "description")
     return findings.groupBy(*keys, "category").agg(
-        F.count("*").alias("n_findings"), F.array_sort(F.collect_list(entry)).alias("findings"))
+        F.count("*").alias("n_findings"), F.sort_array(F.collect_list(entry)).alias("findings"))
 
 
 __all__ = ["CATEGORIES", "by_severity", "check_variables", "findings_by_category", "rule_context", "rule_runs",

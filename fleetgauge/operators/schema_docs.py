@@ -17,5 +17,5 @@ def assemble_schemas(
     """
     place = [*keys, "schema_name", "table_name"]
     per_table = indexes.withColumnRenamed("table_schema", "schema_name").groupBy(*place).agg(
-        F.array_sort(F.collect_list(F.struct("index_name", "non_unique", "columns", "index_type"))).alias("indexes"))
+        F.sort_array(F.collect_list(F.struct("index_name", "non_unique", "columns", "index_type"))).alias("indexes"))
     return tables.join(columns, place, "left").join(per_table, place, "left")

@@ -110,12 +110,11 @@ def fleet_summary(
     what one server has: its engines, its schemas.
     """
     supported = engines.groupBy("instance_id").agg(
-        F.array_sort(F.collect_list(F.struct("engine", "support", "transactions"))).alias("engines"))
-    largest_first = F.struct((-F.col("size_bytes")).alias("_order"), "schema", "tables", "size_bytes")
+        F.sort_array(F.collect_list(F.struct("engine", "support", "transactions"))).alias("engines"))
+    largest_first = F.struct((-F.col("size_bytes")).alias("order"), "schema",
+                             F.struct("schema", "tables", "size_bytes").alias("entry"))
     sizes = schema_sizes(tables).groupBy("instance_id").agg(
-        F.array_sort(F.collect_list(largest_first)).alias("_sizes"))
-    sizes = sizes.select("instance_id", F.transform("_sizes", lambda s: F.struct(
-        s["schema"].alias("schema"), s["tables"].alias("tables"), s["size_bytes"].alias("size_bytes"))).alias("schema_stats"))
+        F.sort_array(F.collect_list(largest_first))["entry"].alias("schema_stats"))
     state = replication.select("instance_id", F.struct(
         "is_replica", "slave_io_running", "slave_sql_running", "seconds_behind_master").alias("replication"))
     row = servers.select("instance_id", "version")

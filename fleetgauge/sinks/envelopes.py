@@ -56,8 +56,8 @@ def _finding_payloads(
 ) -> DataFrame:
     """(instance_id, json_payload): `{"findings": [...]}` per instance and piece, null where there are none."""
     entry = F.struct(F.struct(*order).alias("order"), F.struct(*fields).alias("finding"))
-    lists = numbered.groupBy("instance_id", "_piece").agg(F.array_sort(F.collect_list(entry)).alias("_list"))
-    lists = lists.select("instance_id", F.transform("_list", lambda e: e["finding"]).alias("findings"))
+    lists = numbered.groupBy("instance_id", "_piece").agg(F.sort_array(F.collect_list(entry)).alias("_list"))
+    lists = lists.select("instance_id", F.col("_list.finding").alias("findings"))
     every = instances.select("instance_id").join(lists, "instance_id", "left")
     return every.select("instance_id", F.to_json(F.struct("findings"), KEEP_NULLS).alias("json_payload"))
 

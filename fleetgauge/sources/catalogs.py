@@ -19,7 +19,7 @@ INSTANCE = ("instance_id",)
 
 def _in_order(position: str, *fields: Column | str) -> Column:
     """Structs of a group, sorted by their position."""
-    return F.array_sort(F.collect_list(F.struct(F.col(position).alias("_at"), *fields)))
+    return F.sort_array(F.collect_list(F.struct(F.col(position).alias("_at"), *fields)))
 
 
 def index_catalog(raw: DataFrame, keys: Sequence[str] = INSTANCE) -> DataFrame:
@@ -36,7 +36,7 @@ def index_catalog(raw: DataFrame, keys: Sequence[str] = INSTANCE) -> DataFrame:
         *keys, "table_schema", "table_name", "index_name").agg(parts.alias("_parts"))
     return grouped.select(
         *keys, "table_schema", "table_name", "index_name",
-        F.transform("_parts", lambda part: part["column_name"]).alias("columns"),
+        F.col("_parts.column_name").alias("columns"),
         F.col("_parts")[0]["non_unique"].alias("non_unique"),
         F.col("_parts")[0]["index_type"].alias("index_type"),
     )
@@ -71,7 +71,7 @@ def column_catalog(raw: DataFrame, keys: Sequence[str] = INSTANCE) -> DataFrame:
     grouped = raw.filter(is_user_schema(F.col("table_schema"))).groupBy(
         *keys, F.col("table_schema").alias("schema_name"), "table_name")
     ordered = _in_order("ordinal_position", F.struct(*column_fields()).alias("column"))
-    return grouped.agg(F.transform(ordered, lambda entry: entry["column"]).alias("columns"))
+    return grouped.agg(ordered["column"].alias("columns"))
 
 
 def engines(raw: DataFrame, keys: Sequence[str] = INSTANCE) -> DataFrame:

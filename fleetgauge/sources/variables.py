@@ -34,7 +34,7 @@ def global_variables(raw: DataFrame, keys: Sequence[str] = INSTANCE, seq: str |
     name = F.lower("variable_name")
     single = raw.groupBy(*keys, name.alias("name")).agg(F.max(_ranked(seq))["value"].alias("value"))
     entries = F.collect_list(F.struct("name", "value"))
-    return single.groupBy(*keys).agg(F.map_from_entries(F.array_sort(entries)).alias("vars"))
+    return single.groupBy(*keys).agg(F.map_from_entries(entries).alias("vars"))
 
 
 def show_to_map(raw: DataFrame, keys: Sequence[str] = INSTANCE, seq: str | None = None) -> DataFrame:
