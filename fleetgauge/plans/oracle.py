@@ -34,10 +34,14 @@ _RAW_DIGESTS = """SELECT 'inst-' || (l_suppkey % 4) AS instance_id, 'cl-' || (l_
     strftime(min(l_shipdate), '%Y-%m-%d %H:%M:%S') AS first_seen, strftime(max(l_shipdate), '%Y-%m-%d %H:%M:%S') AS last_seen
     FROM lineitem GROUP BY ALL"""
 
+# More than 10,000 index findings of one instance take several envelopes.
 _PAYLOADS = """
-    SELECT instance_id, 'pt-variable-advisor' AS tool, 1 AS n, (SELECT count(*) FROM findings f WHERE f.instance_id = s.instance_id) AS found FROM servers s
+    SELECT instance_id, 'pt-variable-advisor' AS tool, 1 AS n, count(f.rule_id) AS found
+    FROM servers LEFT JOIN findings f USING (instance_id) GROUP BY ALL
     UNION ALL
-    SELECT instance_id, 'pt-duplicate-key-checker', 1, (SELECT count(*) FROM duplicates d WHERE d.instance_id = s.instance_id) FROM servers s
+    SELECT instance_id, 'pt-duplicate-key-checker', greatest(1, CAST(ceil(count(duplicate_index) / 10000) AS BIGINT)),
+           count(duplicate_index)
+    FROM servers LEFT JOIN duplicates USING (instance_id) GROUP BY ALL
     UNION ALL SELECT instance_id, 'pt-mysql-summary', 1, 0 FROM servers
     UNION ALL SELECT instance_id, 'table-schema', count(*), 0 FROM base_tables SEMI JOIN servers USING (instance_id) GROUP BY ALL"""
 _BASE_TABLES = """SELECT instance_id, table_schema AS schema_name, table_name, coalesce(table_rows, 0) AS table_rows,
@@ -351,12 +355,9 @@ ORACLE: dict[str, str] = {
         SELECT instance_id, cluster_id, timestamp, metric_name, value FROM status_metrics
         UNION ALL SELECT instance_id, cluster_id, timestamp, metric_name, value FROM processlist_metrics
         UNION ALL SELECT instance_id, cluster_id, timestamp, metric_name, value FROM innodb_metrics"""),
-    "union_envelopes": over_views("""
-        SELECT tool, sum(n)::BIGINT AS n, count(DISTINCT instance_id) AS instances
-        FROM (SELECT instance_id, unnest(['pt-variable-advisor', 'pt-duplicate-key-checker', 'pt-mysql-summary']) AS tool,
-                     1 AS n FROM servers
-              UNION ALL SELECT instance_id, 'table-schema', 1 FROM base_tables SEMI JOIN servers USING (instance_id))
-        GROUP BY tool""", base_tables=_BASE_TABLES),
+    "union_envelopes": _findings("""
+        SELECT tool, CAST(sum(n) AS BIGINT) AS n, count(*) AS instances FROM payloads GROUP BY tool""",
+        base_tables=_BASE_TABLES, payloads=_PAYLOADS),
     "union_instances": over_views("SELECT * FROM index_usage"),
     "case_fold": over_views("""
         SELECT instance_id, variable_name, lower(variable_value) = 'on' AS is_on,

@@ -33,7 +33,7 @@ def stream_to_lake(rows: DataFrame, sink: LakeStream) -> StreamingQuery:
     schema = DATASETS[sink.dataset]
     typed = rows.select(
         *(F.col(field.name).cast(field.dataType).alias(field.name) for field in schema.fields),
-        F.to_date(F.current_timestamp()).alias("date"))
+        F.to_date(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone())).alias("date"))
     part = F.pmod(F.xxhash64(*(field.name for field in schema.fields)), F.lit(sink.files_per_instance))
     placed = typed.withColumn("_part", part).repartition("instance_id", "_part").drop("_part")
     writer = placed.writeStream.format("parquet").partitionBy(*PARTITIONS).option(
