@@ -38,9 +38,7 @@ def duplicate_indexes(
     whole = ~F.exists("_folded", lambda name: name.isNull())
     known = known.withColumn("_usable", F.when(whole, F.col("_width")).otherwise(unnamed - 1)).filter("_usable > 0")
 
-    # A hash first: sorts then compare one number instead of names that begin alike.
-    match = ["_hash", *table, "_list", "_unique"]
-    hashed = F.xxhash64(*match[1:])
+    match = [*table, "_list", "_unique"]
 
     stated = known.withColumn("_length", F.explode(F.sequence(F.lit(1), F.col("_usable"))))
     for_unique = F.when((F.col("_width") > F.col("_length")) | F.col("is_unique"), F.array(F.lit(False), F.lit(True)))
@@ -48,7 +46,7 @@ def duplicate_indexes(
         *table, F.slice("_folded", F.lit(1), F.col("_length")).alias("_list"),
         F.explode(F.coalesce(for_unique, F.array(F.lit(False)))).alias("_unique"),
         F.col("_width"), F.col("index_name").alias("_name"), F.col("is_unique").alias("_offered_unique"),
-    ).withColumn("_hash", hashed)
+    )
     best = W.partitionBy(*match).orderBy("_width", "_name")
     two = offers.withColumn("_rank", F.row_number().over(best)).filter("_rank <= 2")
     candidate = F.struct("_width", "_name", "_offered_unique")
@@ -56,7 +54,6 @@ def duplicate_indexes(
 
     reported = known.filter((F.upper("index_name") != "PRIMARY") & (F.col("_usable") == F.col("_width")))
     own = reported.withColumns({"_list": F.col("_folded"), "_unique": F.col("is_unique")}).drop("_folded", "_width", "_usable")
-    own = own.withColumn("_hash", hashed)
     is_self = F.col("_first._name") == F.col("index_name")
     found = own.join(cover, match).withColumn("_cover", F.when(is_self, F.col("_second")).otherwise(F.col("_first")))
     found = found.filter(F.col("_cover._name") != F.col("index_name"))
