@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -31,18 +30,9 @@ def build_session(app: str = "fleetgauge", master: str | None = None, **extra: s
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can reach: `spark.checkpoint.dir` of the session.
-
-    Only where the setting is absent (tests, local mode) a local folder is made.
-    """
+    """The folder all executors can reach: `spark.checkpoint.dir`, or without it a folder in the warehouse."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    local = tempfile.mkdtemp(prefix="fleetgauge-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    return local
+    return (configured or f"{spark.conf.get('spark.sql.warehouse.dir')}/fleetgauge-work").rstrip("/")
 
 
 def run_dir(spark: SparkSession, purpose: str) -> str:
