@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..session import run_dir
 
 #: Bytes of text that a Python worker handles at once.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

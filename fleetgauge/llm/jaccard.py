@@ -39,7 +39,7 @@ _STEPS = np.random.Generator(np.random.PCG64(5)).integers(1, 2**63, SHINGLE).ast
 
 
 class _Hashes(dict):
-    KEPT = 500_000
+    KEPT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
@@ -136,7 +136,7 @@ def read_sets(documents: DataFrame, key: str, text: str) -> tuple[DataFrame, Dat
             none = pa.nulls(len(ids), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), pa.array(ids, pa.int64()),
                                               pa.array([len(s) for s in sets], pa.int64()), none, none], names=names)
-            if size > 6_000_000:  # 48 MB
+            if size > 2_000_000:  # 16 MB
                 yield repeated(held)
                 held, size = [], 0
         if held:
