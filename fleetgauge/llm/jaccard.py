@@ -6,9 +6,10 @@ two-element subsets of the longer prefix (few keys, and rarely shared by chance)
 shorter prefix, which are scanned as inverted lists, also by the small sets that could match a large one. The boundary
 is the size from which stating subsets costs more than scanning lists.
 
-Keys that several sets share are buckets. First every set is compared with the hub of its buckets, which joins groups of
-copies in linear work; then, in buckets that still hold several components, every set outside the largest one is compared
-with all others of another component. Pairs inside a component need no comparing: no link between components is lost.
+Keys that several sets share are buckets. In a few rounds every set is compared with one hub of its buckets, first the
+set whose keys are shared most, which joins groups of copies in linear work. Then, in buckets that still hold several
+components, every set outside the largest one is compared with all others of another component. Pairs inside a component
+need no comparing: no link between components is lost.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, forget, staged, utf8, words
@@ -28,10 +29,12 @@ SHINGLE = 5
 PERCENT = 75
 #: Frequent shingles that are known to all tasks, at most (16 bytes each). They only order sets; fewer are as right.
 FREQUENT = 400_000
-#: Sets of one bucket that meet in one task before its hubs meet: larger buckets are split.
+#: Sets of one bucket that are sorted in one task: larger buckets are split.
 BUCKET = 4096
 #: The boundary is sought up to this size, which bounds the subsets of one set.
 LARGEST_SMALL = 64
+#: Rounds in which every set is compared with one hub; they save comparisons and decide nothing.
+ROUNDS = 1
 #: Bits of the filter that texts pass before they are read as sets again. Fixed: 2 MB, whatever the number of documents.
 FILTER_BITS = 1 << 24
 
@@ -196,10 +199,10 @@ def state_keys(documents: DataFrame, text: str, frequent: np.ndarray, counts: np
 
 
 def shared_keys(keys: DataFrame) -> DataFrame:
-    """Rows of the keys (slices of large ones) that several sets state, each with the hub of its bucket: the least id.
+    """Distinct rows of the keys that several sets state: the buckets.
 
-    Rows come sorted, so one pass with one row in hand suffices, however large a bucket is. Slices of a split key are
-    kept even when one set is alone in them, since their hubs meet later.
+    Rows come sorted, so one pass with one row in hand suffices, however large a bucket is. Frequent keys are split into
+    slices; a slice is kept even when one set is alone in it.
     """
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, passed, newest = None, False, 0  # first row of the bucket that may go on, whether it went out, its last set
@@ -212,9 +215,9 @@ def shared_keys(keys: DataFrame) -> DataFrame:
             key, ids = table[:, :2], table[:, 3]
             opens = np.append(True, (key[1:] != key[:-1]).any(axis=1))
             bucket, starts = np.cumsum(opens) - 1, np.flatnonzero(opens)
-            hub = ids[starts][bucket]
+            leader = ids[starts][bucket]
             fresh = np.append(True, opens[1:] | (ids[1:] != ids[:-1]))  # a set counts once in a bucket
-            several = (np.logical_or.reduceat(ids != hub, starts))[bucket] | (table[:, 2] > 1)
+            several = (np.logical_or.reduceat(ids != leader, starts))[bucket] | (table[:, 2] > 1)
             if held is not None:
                 fresh[0] = not passed
                 if len(table) > 1 and not opens[1]:
@@ -222,29 +225,43 @@ def shared_keys(keys: DataFrame) -> DataFrame:
                 several |= passed & (bucket == 0)
             at = np.flatnonzero(fresh & several)
             if len(at):
-                first = starts[bucket[at]]
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(table[at, i].astype(t)) for i, t in ((0, np.int64), (2, np.int32), (3, np.int64), (4, np.int32), (5, np.int32))),
-                     pa.array(hub[at]), pa.array(table[first, 4].astype(np.int32)), pa.array(table[first, 5].astype(np.int32))],
-                    names=["key", "slices", "id", "n", "pos", "hub", "hub_n", "hub_pos"])
+                    [pa.array(table[at, i].astype(t)) for i, t in ((0, np.int64), (3, np.int64), (4, np.int32), (5, np.int32))],
+                    names=["key", "id", "n", "pos"])
             held, passed, newest = table[[starts[-1]]], bool(several[-1]), int(ids[-1])
 
     parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = keys.repartition(parts, "key", "slice").sortWithinPartitions("key", "slice", "id")
-    return ordered.mapInArrow(scan, "key long, slices int, id long, n int, pos int, hub long, hub_n int, hub_pos int")
+    return ordered.mapInArrow(scan, "key long, id long, n int, pos int")
 
 
-def _possible(n, m, i, j) -> F.Column:
-    """Whether sets of n and m that first meet at places i and j of their order can overlap enough (-1: no place)."""
-    need = F.ceil((n + m) * PERCENT / (100 + PERCENT) - 1e-9)
-    most = F.when((i < 0) | (j < 0), F.least(n, m)).otherwise(1 + F.least(n - i - 1, m - j - 1))
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT) & (most >= need)
+def _needed(n: Column, m: Column) -> Column:
+    """Shingles that linked sets of n and m share at least."""
+    return F.ceil((n + m) * PERCENT / (100 + PERCENT) - 1e-9)
 
 
-def verified(pairs: DataFrame, documents: DataFrame, rows: DataFrame, key: str, text: str) -> DataFrame:
-    """Those of the distinct pairs (a, b) of set ids that link, by their whole sets, which are read from the texts again."""
-    wanted = staged(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(
-        rows.groupBy("id").agg(F.min("row_key").alias("row_key")), "id"), "wanted-sets")
+def _sized(n: Column, m: Column) -> Column:
+    return F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT
+
+
+def _rest(n: Column, m: Column) -> Column:
+    """Shingles after the prefix of either set, at most."""
+    return F.ceil(F.greatest(n, m) * PERCENT / 100 - 1e-9) - 1
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b), with how many keys they share, that can link by that number.
+
+    What two sets share beyond the keys they meet at lies after the prefix of one of them, and that rest has one shingle
+    less than least_overlap(). Sets that meet at subsets are not judged by the number.
+    """
+    return rows.groupBy("a", "b").agg(F.count("*").alias("k"), F.first("n").alias("n"), F.first("m").alias("m"), F.min("i").alias("i")).filter(
+        (F.col("i") < 0) | (F.col("k") + _rest(F.col("n"), F.col("m")) >= _needed(F.col("n"), F.col("m"))))
+
+
+def whole_sets(ids: DataFrame, documents: DataFrame, rows: DataFrame, key: str, text: str) -> DataFrame:
+    """Staged (id, shingles) of the given sets, read from the texts again."""
+    wanted = staged(ids.join(rows.groupBy("id").agg(F.min("row_key").alias("row_key")), "id"), "wanted-sets")
     bits = wanted.select(F.shiftrightunsigned("row_key", 40).alias("bit")).groupBy(F.shiftright("bit", 3).alias("byte")).agg(
         F.bit_or(F.expr("shiftleft(1, CAST(bit % 8 AS INT))")).alias("bits")).toArrow()  # at most FILTER_BITS / 8 rows
     keep = np.zeros(FILTER_BITS // 8, np.uint8)
@@ -261,9 +278,12 @@ def verified(pairs: DataFrame, documents: DataFrame, rows: DataFrame, key: str,
                 yield pa.RecordBatch.from_arrays([part.column("row_key"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["row_key", "shingles"])
 
     texts = documents.select(F.xxhash64(F.col(key), F.col(text)).alias("row_key"), utf8(text).alias("text"))
-    sets = texts.mapInArrow(read, "row_key long, shingles binary").join(wanted, "row_key").groupBy("id").agg(F.first("shingles").alias("shingles"))
-    sets = staged(sets, "sets")
+    found = texts.mapInArrow(read, "row_key long, shingles binary").join(wanted, "row_key")
+    return staged(found.groupBy("id").agg(F.first("shingles").alias("shingles")), "sets")
 
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the distinct pairs (a, b) of set ids that link, by their whole sets; staged."""
     def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             links = []
@@ -276,10 +296,47 @@ def verified(pairs: DataFrame, documents: DataFrame, rows: DataFrame, key: str,
 
     one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("left"))
     two = sets.select(F.col("id").alias("b"), F.col("shingles").alias("right"))
-    links = staged(pairs.join(one, "a").join(two, "b").select("a", "b", "left", "right").mapInArrow(overlap, "a long, b long"), "links")
-    forget(sets)
-    forget(wanted)
-    return links
+    return staged(pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "left", "right").mapInArrow(overlap, "a long, b long"), "links")
+
+
+def labelled(buckets: DataFrame, links: DataFrame | None) -> DataFrame:
+    """Rows of buckets that hold several components, each with its component's label."""
+    if links is None:
+        rows = buckets.withColumn("label", F.col("id"))
+    else:
+        rows = buckets.join(components(links), F.col("id") == F.col("node"), "left").select(
+            *buckets.columns, F.coalesce("component", "id").alias("label"))
+    mixed = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("key")
+    return staged(rows.join(mixed, "key"), "mixed-buckets")
+
+
+def hub_pairs(rows: DataFrame, score: Column) -> DataFrame:
+    """For each set of the buckets the hub of another component that it shares most keys with; a hub has the highest score."""
+    hubs = rows.groupBy("key").agg(F.max(F.struct(score.alias("score"), "id", "n", "label")).alias("h")).select("key", "h.*")
+    near = rows.join(hubs.select("key", *(F.col(c).alias(f"h{c}") for c in ("id", "n", "label"))), "key").filter(
+        (F.col("label") != F.col("hlabel")) & _sized(F.col("n"), F.col("hn")))
+    met = _met(near.select(F.col("id").alias("a"), F.col("hid").alias("b"), "n", F.col("hn").alias("m"), F.col("pos").alias("i")))
+    return met.groupBy("a").agg(F.max(F.struct("k", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+
+
+def cross_pairs(rows: DataFrame) -> DataFrame:
+    """All pairs of different components that share a bucket and can link.
+
+    In each bucket the sets outside its largest component meet all others, so that component is never paired with itself.
+    A set's keys are ranked by the size of their buckets, largest first. Of the k keys that two sets must share, the
+    rarest has at least rank k with both: they need not meet at any key of lower rank.
+    """
+    sizes = rows.groupBy("key", "label").agg(F.count("*").alias("k")).groupBy("key").agg(
+        F.max(F.struct("k", "label")).alias("m"), F.sum("k").alias("size")).select("key", F.col("m.label").alias("major"), "size")
+    ranked = staged(rows.join(sizes, "key").withColumn(
+        "rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("size"), "key"))), "ranked-buckets")  # one set's keys
+    minor = ranked.filter("label != major").select("key", F.col("id").alias("a"), F.col("n").alias("an"), F.col("pos").alias("ap"), F.col("label").alias("al"), F.col("rank").alias("ar"))
+    others = ranked.select("key", F.col("id").alias("b"), F.col("n").alias("bn"), F.col("label").alias("bl"), F.col("rank").alias("br"), (F.col("label") == F.col("major")).alias("is_major"))
+    enough = F.least("ar", "br") + _rest(F.col("an"), F.col("bn")) >= _needed(F.col("an"), F.col("bn"))
+    met = minor.join(others, "key").filter(
+        (F.col("al") != F.col("bl")) & (F.col("is_major") | (F.col("a") < F.col("b"))) & _sized(F.col("an"), F.col("bn")) & ((F.col("ap") < 0) | enough))
+    # One pair may be met from either side, as the largest component differs between buckets.
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -298,36 +355,25 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     total = rows.agg(F.sum("n")).first()[0] or 1
     # Mean length of the list that an occurrence of a shingle is in, as far as it is known.
     mean_list = 1 + float((counts.astype(float) ** 2).sum()) / total
-    buckets = staged(shared_keys(state_keys(documents, text, frequent, counts, _boundary(mean_list))), "shared-keys")
-
-    fits = _possible(F.col("n"), F.col("hub_n"), F.col("pos"), F.col("hub_pos"))
-    to_hub = buckets.filter((F.col("id") != F.col("hub")) & fits).groupBy(F.col("id").alias("a"), F.col("hub").alias("b")).agg(F.count("*").alias("k"))
-    hubs = buckets.filter("slices > 1").select("key", F.col("hub").alias("id"), F.col("hub_n").alias("n")).distinct()
-    top_hub = hubs.groupBy("key").agg(F.min(F.struct("id", "n")).alias("h"))
-    between = hubs.join(top_hub, "key").filter("id != h.id").select(F.col("id").alias("a"), F.col("h.id").alias("b")).distinct()
-    best = to_hub.groupBy("a").agg(F.max(F.struct("k", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
-    links = verified(staged(best.union(between).distinct(), "hub-pairs"), documents, rows, key, text)
-    joined = staged(components(links), "components")
-
-    label = F.coalesce("component", "id").alias("label")
-    labelled = buckets.join(joined, F.col("id") == F.col("node"), "left").select("key", "id", "n", "pos", label).distinct()
-    labelled = staged(labelled, "labelled-keys")
-    forget(buckets)
-    mixed = labelled.groupBy("key", "label").agg(F.count("*").alias("k")).groupBy("key").agg(
-        F.max(F.struct("k", "label")).alias("m"), F.count("*").alias("labels")).filter("labels > 1").select("key", F.col("m.label").alias("major"))
-    inside = labelled.join(mixed, "key")
-    minor = inside.filter("label != major").select("key", F.col("id").alias("a"), F.col("n").alias("an"), F.col("pos").alias("ap"), F.col("label").alias("al"))
-    others = inside.select("key", F.col("id").alias("b"), F.col("n").alias("bn"), F.col("pos").alias("bp"), F.col("label").alias("bl"), (F.col("label") == F.col("major")).alias("is_major"))
-    cross = minor.join(others, "key").filter(
-        (F.col("al") != F.col("bl")) & (F.col("is_major") | (F.col("a") < F.col("b")))
-        & _possible(F.col("an"), F.col("bn"), F.col("ap"), F.col("bp"))).select("a", "b").distinct()
-    cross = staged(cross, "cross-pairs")
-    more = verified(cross, documents, rows, key, text)
-    forget(labelled)
-    joined = staged(components(links.union(more)), "components")
+    buckets = staged(shared_keys(state_keys(documents, text, frequent, counts, _boundary(mean_list))), "buckets")
+    sets = whole_sets(buckets.select("id").distinct(), documents, rows, key, text)
+    # How much of a set's prefix is shared: a text and its edited copies share most where nothing was edited.
+    share = buckets.groupBy("id").agg((F.count("*") / F.first("n")).alias("share"))
+    mixed, links = labelled(staged(buckets.join(share, "id"), "scored-buckets"), None), None
+    for turn in range(ROUNDS):
+        pairs = staged(hub_pairs(mixed, F.col("share") if not turn else F.xxhash64("id", F.lit(turn))), "hub-pairs")
+        if pairs.isEmpty():
+            break
+        found = verified(pairs, sets)
+        links = found if links is None else links.union(found)
+        before, mixed = mixed, labelled(mixed.drop("label"), links)
+        forget(before)
+    more = verified(staged(cross_pairs(mixed), "cross-pairs"), sets)
+    joined = staged(components(more if links is None else links.union(more)), "components")
+    forget(sets)
 
     ids = rows.filter("id IS NOT NULL").groupBy("id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("least"))
-    named = ids.join(joined, F.col("id") == F.col("node"), "left").select("id", "least", label)
+    named = ids.join(joined, F.col("id") == F.col("node"), "left").select("id", "least", F.coalesce("component", "id").alias("label"))
     leaders = named.groupBy("label").agg(F.min("least").alias("first"))
     groups = named.join(leaders, "label").select("id", F.col("first.doc_id").alias("component_id"), F.col("first.row_key").alias("leader"))
     with_set = rows.filter("id IS NOT NULL").join(groups, "id").select("doc_id", "row_key", "id", F.col("n").alias("n_shingles"), "component_id", "leader")
