@@ -69,10 +69,10 @@ def sample_digests(samples: DataFrame, digests: DataFrame, hot: DataFrame | None
     """Samples with the text and counters of their digest in its instance's newest snapshot.
 
     A digest that was run in several schemas is summed, so no sample is repeated.
-    One digest may well cover most samples of a fleet: its rows are spread.
+    One digest may well cover most samples of a fleet: its rows are spread, and so are samples without a digest.
     """
     current = latest_per_instance(digests).groupBy("instance_id", "digest").agg(
         F.max("digest_text").alias("digest_text"), F.sum("exec_count").alias("exec_count"),
         F.sum("sum_timer_wait").alias("sum_timer_wait"),
     )
-    return spread_join(samples, current, ["instance_id", "digest"], F.col("event_id"), hot=hot)
+    return spread_join(samples, current, ["instance_id", "digest"], F.col("event_id"), hot=hot, unmatched=F.col("digest").isNull())

@@ -142,7 +142,7 @@ ORACLE: dict[str, str] = {
     "read_lake_date_range": over_views(f"""
         SELECT {DIGEST_COLUMNS} FROM query_digests WHERE timestamp >= '1998-01-01' AND timestamp < '1999-01-01'"""),
     "write_lake": over_views(f"""
-        SELECT {DIGEST_COLUMNS}, substr(timestamp, 1, 4) || '-01-01' AS date FROM query_digests"""),
+        SELECT {DIGEST_COLUMNS}, CAST(substr(timestamp, 1, 4) AS INTEGER) + 1 || '-01-01' AS date FROM query_digests"""),
     "write_lake_sized": over_views("""
         SELECT instance_id, count(*) AS n_rows, true AS within_limit FROM samples GROUP BY ALL"""),
     "compact_lake": over_views("""

@@ -189,9 +189,9 @@ def server_info(t: Telemetry) -> DataFrame:
 
 
 def _lake(t: Telemetry, purpose: str) -> str:
-    """A lake with the digest rows, in a folder per year, and the index rows of one day."""
+    """A lake with the digest rows, filled in on the first day of the next year, and the index rows of one day."""
     base = run_dir(t.spark, purpose)
-    day = F.to_date(F.concat(F.substring("timestamp", 1, 4), F.lit("-01-01")))
+    day = F.make_date(F.substring("timestamp", 1, 4).cast("int") + 1, F.lit(1), F.lit(1))
     sinks.write_lake(_wide(t.query_digests(), "query-digests"), base, "query-digests", date=day)
     sinks.write_lake(t.index_usage(), base, "index-usage", date=dt.date(2024, 1, 2))
     return base
@@ -278,14 +278,17 @@ def envelopes(t: Telemetry) -> DataFrame:
 
 @query
 def topic_routing(t: Telemetry) -> DataFrame:
-    """Messages written to a folder per topic, counted from there; events stand for messages, some of unknown tools."""
+    """Messages written to a folder per topic and read from there; events stand for messages, some of unknown tools."""
     tools = {"view": "pt-variable-advisor", "click": "pt-duplicate-key-checker", "error": "pt-mysql-summary",
              "signup": "table-schema"}
     tool = F.col("event_type")
     for event, name in tools.items():
         tool = F.when(F.col("event_type") == event, F.lit(name)).otherwise(tool)
     messages = t.table("events").select(F.col("event_id").cast("string").alias("run_id"), tool.alias("tool"))
-    return messages.select("run_id", "tool", sinks.topic_of(F.col("tool")).alias("topic"))
+    path = run_dir(t.spark, "topics")
+    sinks.write_envelopes(messages, path)
+    read = t.spark.read.option("partitionColumnTypeInference.enabled", "false").parquet(path)
+    return read.select("run_id", "tool", F.coalesce(F.col("topic").cast("string"), F.lit("")).alias("topic"))
 
 
 @query

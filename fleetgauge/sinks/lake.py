@@ -58,21 +58,36 @@ def write_lake(
 
 
 def compact_lake(
-    spark: SparkSession, base: str, dataset: str, where: Column | None = None, rows_per_file: int = ROWS_PER_FILE,
-    into: str | None = None,
+    spark: SparkSession, base: str, dataset: str, *, instance: str | None = None, since: dt.date | str | None = None,
+    until: dt.date | str | None = None, rows_per_file: int = ROWS_PER_FILE, into: str | None = None,
 ) -> None:
-    """Rewrites chosen folders of a dataset (all, or those `where` on instance_id/date) with fewer files.
+    """Rewrites whole folders of closed days with fewer files: of one instance or all, of the folder days since to until.
 
-    A lake that a stream writes keeps a log of its files; compact it `into` another base.
+    The folder of today (UTC) is left alone, since collectors append to it; naming it in `until` is an error. Rows are
+    shuffled once into staged files, whose number of rows must be that of the lake. Folders are replaced only if they
+    still hold the files that were read: after a late append nothing is changed and an error says so.
 
-    The rows are first written to the shared folder and replace the lake's
-    folders from there, so no file is read while it is being replaced.
+    A lake that a stream writes keeps a log of its files; compact it `into` another base.
     """
-    rows = read_lake(spark, base, dataset)
-    if where is not None:
-        rows = rows.filter(where)
+    today = dt.datetime.now(dt.timezone.utc).date()
+    first, last = (dt.date.fromisoformat(day) if isinstance(day, str) else day for day in (since, until))
+    if last is not None and last >= today:
+        raise ValueError(f"the folder of {last} is still written to")
+
+    def chosen() -> DataFrame:
+        rows = read_lake(spark, base, dataset, instance=instance).filter(F.col("date") <= F.lit(last or today - dt.timedelta(days=1)))
+        return rows if first is None else rows.filter(F.col("date") >= F.lit(first))
+
+    rows = chosen()
+    files = sorted(rows.inputFiles())
+    if not files:
+        return
     staged = run_dir(spark, "compact")
-    sized(rows).write.parquet(staged)
-    target = spark.read.schema(rows.schema).parquet(staged)
-    sized(target).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option(
+    sized(rows).write.partitionBy(*PARTITIONS).option("maxRecordsPerFile", rows_per_file).parquet(staged)
+    compacted = spark.read.schema(rows.schema).parquet(staged)
+    if compacted.count() != rows.count() or sorted(chosen().inputFiles()) != files:
+        raise RuntimeError("the lake was written to while it was compacted; nothing was changed")
+    compacted.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option(
         "maxRecordsPerFile", rows_per_file).partitionBy(*PARTITIONS).parquet(f"{(into or base).rstrip('/')}/{dataset}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(staged)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

@@ -23,14 +23,16 @@ def read_lake(
     instance: str | None = None,
     since: dt.date | str | None = None,
     until: dt.date | str | None = None,
+    written_until: dt.date | str | None = None,
 ) -> DataFrame:
     """One dataset of the lake, with the partition column `date`.
 
     The schema is explicit, so ids such as `101` or `007` stay texts and no file
     is opened to infer anything. `since` and `until` are days of the samples.
-    The `date` folder is the day of *writing*, and a buffered row may be written
-    on the day after it was taken, so one more day of folders is read and the
-    rows are then cut by their own timestamp.
+    The `date` folder is the day of *writing*. No row is written before it was
+    taken, so folders before `since` are left out; a row may be written at any
+    time after, so `until` cuts rows by their own timestamp only. Who knows that
+    nothing was filled in later can say so with `written_until`, a day of folders.
     """
     schema = T.StructType([*DATASETS[dataset].fields, T.StructField("date", T.DateType(), True)])
     rows = spark.read.schema(schema).parquet(f"{base.rstrip('/')}/{dataset}")
@@ -41,8 +43,9 @@ def read_lake(
         rows = rows.filter((F.col("date") >= F.lit(first)) & (F.col("timestamp") >= first.isoformat()))
     if until is not None:
         last = _day(until)
-        rows = rows.filter((F.col("date") <= F.lit(last + dt.timedelta(days=1)))
-                           & (F.col("timestamp") < (last + dt.timedelta(days=1)).isoformat()))
+        rows = rows.filter(F.col("timestamp") < (last + dt.timedelta(days=1)).isoformat())
+    if written_until is not None:
+        rows = rows.filter(F.col("date") <= F.lit(_day(written_until)))
     return rows
 
 

@@ -17,9 +17,11 @@ def stream_wait_summary(
 
     The waits of a statement are summed per event and bucket before the join, so
     neither a statement with very many waits nor the waits outside any statement
-    (nesting id 0, which never match) pile up in the state of one key. A bucket
-    lies between the start of its statement and `longest_statement` after it,
-    which lets Spark drop old state. Rows later than `lateness` are dropped.
+    (nesting id 0, which never match) pile up in the state of one key. A statement
+    is collected when it ends, so its waits may have been seen before it, or after
+    it where histories are read at different times: a bucket lies at most
+    `longest_statement` from its statement on either side, which lets Spark drop
+    old state. Give it the longest running time that is to be attributed. Rows later than `lateness` are dropped.
     """
     by_parent = waits.withWatermark("event_time", lateness).groupBy(
         "instance_id", "cluster_id", F.coalesce("nesting_event_id", F.lit(0)).alias("nesting_event_id"), "event_name",
@@ -34,7 +36,7 @@ def stream_wait_summary(
     tagged = by_parent.join(
         parents,
         (F.col("instance_id") == F.col("_instance")) & (F.col("nesting_event_id") == F.col("_event"))
-        & (F.col("bucket_time") >= F.col("_started"))
+        & (F.col("bucket_time") >= F.col("_started") - F.expr(f"INTERVAL {longest_statement}"))
         & (F.col("bucket_time") <= F.col("_started") + F.expr(f"INTERVAL {longest_statement}")),
         "left_outer",
     ).withColumn("parent_digest", or_empty(F.col("_digest")))

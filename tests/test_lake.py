@@ -72,7 +72,7 @@ def test_unsigned_counters_of_foreign_files(spark, tmp_path):
     assert int(again.first().count_read) == top and int(again.agg(F.sum("count_read")).first()[0]) == top
 
 
-def test_date_range_prunes_with_a_day_of_slack(spark, tmp_path):
+def test_date_range_cuts_by_timestamp(spark, tmp_path):
     base = str(tmp_path)
     for day, ts in ((23, "2026-04-23 23:58:00"), (24, "2026-04-23 23:59:00"), (24, "2026-04-24 12:00:00"),
                     (25, "2026-04-24 23:59:59"), (25, "2026-04-25 00:00:00"), (26, "2026-04-26 00:00:00")):
@@ -84,6 +84,16 @@ def test_date_range_prunes_with_a_day_of_slack(spark, tmp_path):
     assert "date" in folders and "instance_id" in folders and "timestamp" in pushed
 
 
+@pytest.mark.parametrize("written", [dt.date(2026, 4, 25), dt.date(2026, 4, 29), dt.date(2026, 9, 1)])
+def test_rows_that_were_filled_in_later_are_found(spark, tmp_path, written):
+    base = str(tmp_path)
+    write_lake(metrics(spark, *(("i", "a", float(h), f"2026-04-24 {h:02}:00:00") for h in range(4))), base, "metrics", date=written)
+    assert read_lake(spark, base, "metrics", since=DAY, until=DAY).count() == 4
+    assert read_lake(spark, base, "metrics", since="2026-04-25", until="2026-12-31").count() == 0
+    assert read_lake(spark, base, "metrics", until=DAY, written_until=written).count() == 4
+    assert read_lake(spark, base, "metrics", until=DAY, written_until=written - dt.timedelta(days=1)).count() == 0
+
+
 def test_rows_per_file_and_compaction(spark, tmp_path):
     base = str(tmp_path)
     rows = spark.range(250).select(F.lit("i").alias("instance_id"), F.lit("c").alias("cluster_id"), F.lit("a").alias("metric_name"),
@@ -91,7 +101,7 @@ def test_rows_per_file_and_compaction(spark, tmp_path):
     write_lake(rows, base, "metrics", date=DAY, rows_per_file=100)
     assert len(files(base)) == 3
     write_lake(rows, base, "metrics", date=DAY + dt.timedelta(days=1), rows_per_file=100)
-    compact_lake(spark, base, "metrics", F.col("date") == F.lit(DAY))
+    compact_lake(spark, base, "metrics", since=DAY, until=DAY.isoformat())
     assert len(files(base, "**/date=2026-04-24/*.parquet")) == 1 and len(files(base, "**/date=2026-04-25/*.parquet")) == 3
     back = read_lake(spark, base, "metrics")
     assert back.count() == 500 and back.agg(F.sum("value")).first()[0] == 2 * 250 * 249 / 2
@@ -99,6 +109,40 @@ def test_rows_per_file_and_compaction(spark, tmp_path):
     assert read_lake(spark, str(tmp_path / "other"), "metrics").count() == 500
 
 
+def test_compaction_takes_whole_closed_folders_only(spark, tmp_path):
+    base, today = str(tmp_path), dt.datetime.now(dt.timezone.utc).date()
+    for day in (DAY, DAY, today, today):
+        write_lake(metrics(spark, ("i", "a", 1.0, "2026-04-24 10:00:00"), ("j", "a", 2.0, "2026-04-24 10:00:00")), base, "metrics", date=day)
+    with pytest.raises(TypeError):
+        compact_lake(spark, base, "metrics", F.col("value") > 1)
+    with pytest.raises(ValueError):
+        compact_lake(spark, base, "metrics", until=today)
+    compact_lake(spark, base, "metrics", instance="i")
+    count = lambda instance, day: len(files(base, f"**/instance_id={instance}/date={day}/*.parquet"))
+    assert [count(i, d) for i in "ij" for d in (DAY, today)] == [1, 2, 2, 2]
+    assert read_lake(spark, base, "metrics").count() == 8
+    compact_lake(spark, base, "metrics", since="2020-01-01", until="2020-01-02")
+    assert read_lake(spark, base, "metrics").count() == 8
+
+
+def test_append_during_compaction_survives(spark, tmp_path, monkeypatch):
+    from fleetgauge.sinks import lake
+    base, row = str(tmp_path), ("i", "a", 1.0, "2026-04-24 10:00:00")
+    for _ in range(2):
+        write_lake(metrics(spark, row), base, "metrics", date=DAY)
+    plain = lake.sized
+
+    def slow(rows):
+        monkeypatch.setattr(lake, "sized", plain)
+        write_lake(metrics(spark, row), base, "metrics", date=DAY)
+        return plain(rows)
+
+    monkeypatch.setattr(lake, "sized", slow)
+    with pytest.raises(RuntimeError):
+        compact_lake(spark, base, "metrics")
+    assert read_lake(spark, base, "metrics").count() == 3
+
+
 def test_views(spark, tmp_path):
     for dataset, schema in DATASETS.items():
         write_lake(spark.createDataFrame([tuple("x" if f.dataType.typeName() == "string" else None for f in schema)], schema),

@@ -124,16 +124,22 @@ def test_a_batch_run_again_counts_once(spark):
     assert sorted(r.n_increase for r in spark.read.parquet(f"{out}/batch=*").collect()) == [1, 3]
 
 
-def test_working_folder_must_be_set_on_a_cluster(spark, monkeypatch):
+def test_working_folder_without_a_setting_is_in_the_warehouse():
     from fleetgauge import session
 
-    class Cluster:
+    class Session:
         class conf:
             @staticmethod
             def get(key, default=None):
-                return default
+                return {"spark.sql.warehouse.dir": "hdfs:///warehouse"}.get(key, default)
+    assert session.shared_dir(Session) == "hdfs:///warehouse/fleetgauge-work"
 
-        class sparkContext:
-            master = "yarn"
-    with pytest.raises(ValueError):
-        session.shared_dir(Cluster)
+
+def test_waits_seen_before_their_statement(spark):
+    waits, samples = Landing(spark, WAITS), Landing(spark, SAMPLES)
+    later = "2026-04-25 10:00:00"
+    waits.land([("i", "c", 1, 100, "io", 5, "2026-04-24 10:00:01"), ("i", "c", 2, 100, "io", 7, "2026-04-24 10:15:01"),
+                ("x", "x", 9, 0, "mark", 0, later)])
+    samples.land([("i", 100, "A", "2026-04-24 10:00:30"), ("x", 9, "x", later)])
+    got = run(spark, stream_wait_summary(waits.stream(), samples.stream(), longest_statement="20 minutes"), run_dir(spark, "out"), run_dir(spark, "checkpoint"))
+    assert {(r.parent_digest, r.timestamp) for r in got if r.instance_id == "i"} == {("A", "2026-04-24 10:00:00"), ("A", "2026-04-24 10:15:00")}
