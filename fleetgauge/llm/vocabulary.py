@@ -14,25 +14,30 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Parts a worker keeps before it starts anew; this bounds its memory, not its results.
-KEPT = 300_000
+#: Entries of a generation of a cache; a worker keeps two generations. This bounds its memory, not its results.
+KEPT = 250_000
 _MARKS = b".,!?;:*#$%&|"
 # White space beyond ASCII, and separators that only some of the libraries count as such.
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -​    　]")
+_RUNS = (b"\t", b"\r", b"\x0b", b"\x0c", b"\0", b"  ", b"\n\n", b" \n", b"\n ")
 _SPACED = re.compile(rb"[ \t\n\r\x0b\x0c]+[^ \t\n\r\x0b\x0c]*|[^ \t\n\r\x0b\x0c]+")
 
 
-class _Parts(dict):
-    """Part of a text (bytes) to its ids (bytes of unsigned integers)."""
+class Recent(dict):
+    """What `make` gives for a key, kept for the keys of late: a full generation becomes the old one, which keys in use leave."""
 
-    def __init__(self, owner: "Encoder"):
-        self.owner = owner
+    def __init__(self, make, kept: int = KEPT):
+        self.make, self.kept, self.old = make, kept, {}
 
-    def __missing__(self, part: bytes) -> bytes:
-        if len(self) >= KEPT:
+    def __missing__(self, key):
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(self) >= self.kept:
+            self.old = dict(self)
             self.clear()
-        ids = self[part] = self.owner._part(part)
-        return ids
+        self[key] = found
+        return found
 
 
 class Encoder:
@@ -46,46 +51,47 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.lower = lower
+        self.model, self.lower = self.tokenizer.model, lower
         # Strings of special tokens in a text are encoded as the library does it by default.
         self.specials = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.code = "H" if self.width == 2 else "I"
         self.dtype = np.dtype("<u2" if self.width == 2 else "<u4")
-        self.parts, self.stems = _Parts(self), {}
+        self.parts, self.stems = Recent(self._part), Recent(self._stem)
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _stem(self, stem: bytes, letters: str) -> bytes:
+    def _stem(self, stem: str) -> bytes:
         """One run of letters, with a space before it where that belongs to it: the model alone can merge it."""
-        found = self.stems.get(stem)
-        if found is None:
-            if len(self.stems) >= KEPT:
-                self.stems.clear()
-            shown = letters if letters.isascii() else letters.encode().decode("latin-1").translate(_SHOWN)
-            if stem[:1] == b" ":
-                shown = _SPACE + shown
-            found = self.stems[stem] = array(self.code, [p.id for p in self.tokenizer.model.tokenize(shown)]).tobytes()
-        return found
+        shown = stem
+        if not stem.isascii():
+            shown = stem.encode().decode("latin-1").translate(_SHOWN)
+        elif stem[:1] == " ":
+            shown = _SPACE + stem[1:]
+        return array(self.code, [p.id for p in self.model.tokenize(shown)]).tobytes()
 
     def _part(self, part: bytes) -> bytes:
         if self.lower:
             part = part.lower()
         stem = part.rstrip(_MARKS)
-        letters = stem[stem[:1] == b" ":].decode("utf-8", "replace")
-        if self.lower and not letters.isascii():
-            letters = self.tokenizer.normalizer.normalize_str(letters)
-        if len(letters) < 200 and letters.isalpha():
-            marks = part[len(stem):]
-            return self._stem(stem, letters) + (self.parts[marks] if marks else b"")
+        text = stem.decode("utf-8", "replace")
+        if self.lower and not text.isascii():
+            text = self.tokenizer.normalizer.normalize_str(text)
+        if len(text) < 200 and text[text[:1] == " ":].isalpha():
+            return self.stems[text] + self.parts[part[len(stem):]] if len(stem) < len(part) else self.stems[text]
         return self._whole(part.decode("utf-8", "replace"))
 
     def ids(self, text: bytes) -> bytes:
         """The ids of a whole text, as bytes."""
         if any(s in text for s in self.specials) or (not text.isascii() and _ODD_SPACE.search(text.decode("utf-8", "replace"))) or _CONTROL.search(text):
             return self._whole(text.decode("utf-8", "replace"))
-        parts = text.split() if self.lower else _SPACED.findall(text)
+        if self.lower:
+            parts = text.split()
+        elif any(run in text for run in _RUNS):
+            parts = _SPACED.findall(text)
+        else:  # single blanks and line ends only: each begins a part
+            parts = text.replace(b" ", b"\0 ").replace(b"\n", b"\0\n").split(b"\0")
         return b"".join(map(self.parts.__getitem__, parts))
 
 
