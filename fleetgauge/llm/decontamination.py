@@ -20,7 +20,7 @@ from .common import chunks, utf8, words
 
 WINDOW = 8
 #: Words of a window that must be literal: windows of placeholders alone say nothing.
-LITERAL = 5
+LITERAL = 4
 #: Least share of an item's windows that one alignment must hold.
 COVERAGE = 0.3
 #: Bits of the filter that document windows pass before they are joined. Fixed: 1 MB, whatever the benchmark's size.
