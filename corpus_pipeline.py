@@ -30,9 +30,9 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every span replaced by its kind; n_chars follows the text."""
-    found = private_data.find(docs)
-    text = private_data.masked(F.col("text"), F.col("spans"))
-    changed = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    # Named first: inside a lambda, `text` would mean the new column of the same projection.
+    found = private_data.find(docs).withColumn("_masked", private_data.masked(F.col("text"), F.col("spans")))
+    changed = {"text": F.col("_masked")} | ({"n_chars": F.length("_masked").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return found.withColumns(changed).select(*docs.columns)
 
 
