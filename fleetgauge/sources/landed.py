@@ -5,7 +5,6 @@ The JDBC driver is not part of Spark; `read_jdbc` needs it on the class path.
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,8 +55,14 @@ def read_jdbc(
 
 
 def union_instances(frames: list[DataFrame]) -> DataFrame:
-    """All instances of one cycle as one frame; a column one server lacks is NULL there."""
-    return reduce(lambda left, right: left.unionByName(right, allowMissingColumns=True), frames)
+    """All instances of one cycle as one frame; a column one server lacks is NULL there.
+
+    Frames are united in pairs, so that the plan of thousands of servers is as deep as the logarithm of their number.
+    """
+    while len(frames) > 1:
+        pairs = [frames[i:i + 2] for i in range(0, len(frames), 2)]
+        frames = [p[0].unionByName(p[1], allowMissingColumns=True) if len(p) == 2 else p[0] for p in pairs]
+    return frames[0]
 
 
 def read_landed(spark: SparkSession, path: str, schema=None) -> DataFrame:
