@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 from pathlib import Path
 
 import pyarrow as pa
@@ -15,6 +16,31 @@ from ..session import run_dir
 
 #: Bytes of text that a Python worker handles at once.
 CHUNK_BYTES = 1 << 20
+#: Bytes of a batch on its way to a Python worker, beyond which Spark begins another one.
+BATCH_BYTES = 4 << 20
+
+_kept: dict[Hashable, Any] = {}
+
+
+def kept(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What `make` gives, kept in this Python worker between tasks until another key is asked for.
+
+    Workers outlive stages; so the caches of one operator do not lie beside those of the next one.
+    """
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Has the session cut batches for Python at BATCH_BYTES, so long texts do not fill a worker by thousands of rows.
+
+    A limit that the user chose stays.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == "67108864b":  # Spark's own
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -23,12 +49,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     known = places.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
     if root not in known.split(os.pathsep):
         places["PYTHONPATH"] = os.pathsep.join(filter(None, (root, known)))
+    small_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def staged(frame: DataFrame, purpose: str) -> DataFrame:
     """The frame written to the shared folder and read again: lineage ends here, lost executors cost nothing."""
     path = run_dir(frame.sparkSession, purpose)
+    small_batches(frame.sparkSession)
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 

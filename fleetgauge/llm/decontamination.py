@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, utf8, words
+from .common import chunks, kept, utf8, words
 
 WINDOW = 8
 #: Words of a window that must be literal: windows of placeholders alone say nothing.
@@ -102,7 +102,7 @@ WINDOWS = "row_key long, pos int, hash long, slots array<string>, n_windows int"
 def _windows(sizes: list[int], keep: np.ndarray | None, whole: bool):
     """Arrow function from (row_key, text) to template windows; `whole`: an item shorter than a window is one window."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Templates()
+        known = kept("templates", Templates)
         for batch in chunks(batches, "text"):
             rows = []
             for row_key, body in zip(batch.column("row_key").to_pylist(), batch.column("text").to_pylist()):

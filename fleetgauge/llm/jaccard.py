@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, forget, staged, utf8, words
+from .common import chunks, forget, kept, staged, utf8, words
 from .components import components
 
 SHINGLE = 5
@@ -119,7 +119,7 @@ def read_sets(documents: DataFrame, key: str, text: str) -> tuple[DataFrame, Dat
     kinds = "doc_id long, row_key long, id long, n long, shingle long, count long"
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen, held, size = _Hashes(), set(), [], 0
+        known, seen, held, size = kept("word hashes", _Hashes), set(), [], 0
 
         def repeated(parts):
             values, counts = np.unique(np.concatenate(parts), return_counts=True)
@@ -160,7 +160,7 @@ def state_keys(documents: DataFrame, text: str, frequent: np.ndarray, counts: np
     shared = spark.sparkContext.broadcast((frequent, counts))  # at most FREQUENT entries
 
     def state(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (frequent, counts), known, seen = shared.value, _Hashes(), set()
+        (frequent, counts), known, seen = shared.value, kept("word hashes", _Hashes), set()
         for batch in chunks(batches, "text"):
             keys, times, ids, sizes, places = [], [], [], [], []
             for s in shingle_sets(batch.column("text").to_pylist(), known):
@@ -269,7 +269,7 @@ def whole_sets(ids: DataFrame, documents: DataFrame, rows: DataFrame, key: str,
     shared = documents.sparkSession.sparkContext.broadcast(keep)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep, known = shared.value, _Hashes()
+        keep, known = shared.value, kept("word hashes", _Hashes)
         for batch in batches:
             at = (batch.column("row_key").to_numpy().view(np.uint64) >> np.uint64(40)).astype(np.int64)
             chosen = batch.filter(pa.array((keep[at >> 3] >> (at & 7) & 1).astype(bool)))

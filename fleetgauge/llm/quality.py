@@ -8,14 +8,13 @@ octave of length. The bands come from the quartiles of all documents that pass t
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, staged, utf8, words
+from .common import chunks, kept, staged, utf8, words
 
 #: Words a worker keeps before it starts anew; bounds its memory only.
 KEPT = 300_000
@@ -46,9 +45,8 @@ class Fertility(dict):
         return ids
 
 
-@lru_cache(maxsize=2)
 def fertility(path: str) -> Fertility:
-    return Fertility(path)
+    return kept(("fertility", path), lambda: Fertility(path))
 
 
 _STEPS = np.random.Generator(np.random.PCG64(8)).integers(1, 2**63, WINDOW).astype(np.uint64) * np.uint64(2) + np.uint64(1)

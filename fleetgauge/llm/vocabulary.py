@@ -10,10 +10,11 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from functools import lru_cache
 
 import numpy as np
 
+from .common import kept
+
 #: Entries of a generation of a cache; a worker keeps two generations. This bounds its memory, not its results.
 KEPT = 250_000
 _MARKS = b".,!?;:*#$%&|"
@@ -102,10 +103,9 @@ _SPACE = chr(_SHOWN[0x20])
 _CONTROL = re.compile(rb"[\x1c-\x1f]")
 
 
-@lru_cache(maxsize=4)
 def encoder(path: str, lower: bool) -> Encoder:
-    """One encoder per worker and vocabulary."""
-    return Encoder(path, lower)
+    """The encoder that this worker keeps."""
+    return kept(("encoder", path, lower), lambda: Encoder(path, lower))
 
 
 def wide(ids: bytes, width: int) -> bytes:
