@@ -2,8 +2,9 @@
 
 Words of benchmark items and documents become templates: numbers, names and units are replaced with typed placeholders,
 their values are kept as slots. Windows of template words are hash-joined; the slots of all windows that one alignment of
-an item and a document shares must map onto each other one to one. A question is found as it stands (`exact`) and with
-other numbers, names or units put in (`reparameterised`).
+an item and a document shares must map onto each other one to one. Inserted and deleted words shift the alignment, so
+windows are summed over the alignments in one stretch of the document. A question is found as it stands (`exact`) and
+with other numbers, names or units put in (`reparameterised`).
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, kept, utf8, words
@@ -21,8 +22,10 @@ from .common import chunks, kept, utf8, words
 WINDOW = 8
 #: Words of a window that must be literal: windows of placeholders alone say nothing.
 LITERAL = 4
-#: Least share of an item's windows that one alignment must hold.
+#: Least share of an item's windows that one stretch of a document must hold.
 COVERAGE = 0.3
+#: Words in a row, equal in item and document, that are a hit by themselves, however long the item is.
+RUN = 13
 #: Bits of the filter that document windows pass before they are joined. Fixed: 1 MB, whatever the benchmark's size.
 FILTER_BITS = 1 << 23
 
@@ -96,7 +99,7 @@ def window_hashes(hashes: np.ndarray, kinds: np.ndarray, size: int) -> tuple[np.
     return total ^ (total >> np.uint64(29)), literal * WINDOW >= LITERAL * size
 
 
-WINDOWS = "row_key long, pos int, hash long, slots array<string>, n_windows int"
+WINDOWS = "row_key long, pos int, hash long, slots array<string>, n_windows int, n_words int"
 
 
 def _windows(sizes: list[int], keep: np.ndarray | None, whole: bool):
@@ -116,23 +119,37 @@ def _windows(sizes: list[int], keep: np.ndarray | None, whole: bool):
                         ok &= (keep[bits >> 3] >> (bits & 7) & 1).astype(bool)
                     n = int(ok.sum())
                     for at in np.flatnonzero(ok).tolist():
-                        slots = [f"{i}\x00{_KINDS[kinds[at + i]]}\x00{values[at + i]}" for i in range(size) if kinds[at + i]]
-                        rows.append((row_key, at, int(found[at].view(np.int64)), slots, n))
+                        slots = [f"{_KINDS[kinds[at + i]]}\x00{values[at + i]}" for i in range(size) if kinds[at + i]]
+                        rows.append((row_key, at, int(found[at].view(np.int64)), slots, n, len(hashes)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (
-                    pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.int32()))],
-                    names=["row_key", "pos", "hash", "slots", "n_windows"])
+                    pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.int32(), pa.int32()))],
+                    names=["row_key", "pos", "hash", "slots", "n_windows", "n_words"])
 
     return cut
 
 
+def longest_run(places: Column) -> Column:
+    """The most numbers in a row that follow each other in an array of numbers."""
+    start = F.struct(F.lit(-2).alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+
+    def step(a: Column, x: Column) -> Column:
+        run = F.when(x == a.last + 1, a.run + 1).otherwise(F.lit(1))
+        return F.struct(x.alias("last"), run.alias("run"), F.greatest(a.best, run).alias("best"))
+
+    return F.aggregate(F.array_sort(F.array_distinct(places)), start, step, lambda a: a.best)
+
+
 def contaminated(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
                  item_text: str = "text", coverage: float = COVERAGE) -> DataFrame:
     """doc_id, row_key, item_id, n_windows, coverage and kind for each pair of a document and an item it holds.
 
-    coverage is the share of the item's windows that the best alignment holds with consistent slots; kind is `exact`
-    if all slots are equal, else `reparameterised`. row_key is a hash of key and text, so equal rows share it and are
-    listed once for each of them. Items with fewer than 3 words or without enough literal words are not searched for.
+    coverage is the share of the item's windows that the best stretch of the document holds, each in an alignment with
+    consistent slots; kind is `exact` if all slots are equal, else `reparameterised`. Alignments are of one stretch if
+    their shifts are no farther apart than the item is long. A pair is listed if its coverage is reached, or if RUN words
+    in a row (the whole item, where it is shorter) are equal; then coverage may be less, and kind is `exact`. row_key is
+    a hash of key and text, so equal rows share it and are listed once for each of them. Items with fewer than 3 words
+    or without enough literal words are not searched for.
     Null texts hold nothing; null keys are kept as null; empty tables give no rows; other columns are not read.
     """
     spark = documents.sparkSession
@@ -153,17 +170,29 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id"
 
     rows = documents.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(key), F.col(text)).alias("row_key"), utf8(text).alias("text"))
     hits = rows.select("row_key", "text").mapInArrow(search, WINDOWS).select("row_key", F.col("pos").alias("at"), "hash", F.col("slots").alias("theirs")).distinct()
-    joined = probes.select(F.col("row_key").alias("item_id"), "pos", "hash", "slots", "n_windows").join(hits, "hash")
-    # Slots of a window carry their place in it; added to the window's place they name a word of the item.
-    paired = F.zip_with("slots", "theirs", lambda a, b: F.struct(
-        F.split(a, "\x00")[1].alias("kind"), F.split(a, "\x00")[2].alias("ours"), F.split(b, "\x00")[2].alias("theirs")))
+    joined = probes.select(F.col("row_key").alias("item_id"), "pos", "hash", "slots", "n_windows", "n_words").join(hits, "hash")
+    # Equal templates have their slots at equal places.
+    paired = F.zip_with("slots", "theirs", lambda a, b: F.struct(a.alias("ours"), b.alias("theirs")))
+    same = F.forall(paired, lambda p: p.ours == p.theirs)
     aligned = joined.groupBy("row_key", "item_id", (F.col("at") - F.col("pos")).alias("shift")).agg(
-        F.count("*").alias("n_windows"), F.first("n_windows").alias("of"), F.array_distinct(F.flatten(F.collect_set(paired))).alias("pairs"))
-    one_way = F.size(F.array_distinct(F.transform("pairs", lambda p: F.struct(p.kind, p.ours)))) == F.size("pairs")
-    other_way = F.size(F.array_distinct(F.transform("pairs", lambda p: F.struct(p.kind, p.theirs)))) == F.size("pairs")
-    best = aligned.filter(one_way & other_way).withColumn("coverage", F.col("n_windows") / F.col("of")).filter(
-        F.col("coverage") >= coverage).withColumn("same", F.forall("pairs", lambda p: p.ours == p.theirs)).groupBy("row_key", "item_id").agg(
-        F.max(F.struct("n_windows", "coverage", "same")).alias("b"))
+        F.first("n_windows").alias("of"), F.first("n_words").alias("n_words"),
+        F.collect_set(F.struct("pos", same.alias("same"))).alias("windows"), F.array_distinct(F.flatten(F.collect_set(paired))).alias("pairs"))
+    one_way = F.size(F.array_distinct(F.transform("pairs", lambda p: p.ours))) == F.size("pairs")
+    other_way = F.size(F.array_distinct(F.transform("pairs", lambda p: p.theirs))) == F.size("pairs")
+    equal = F.filter("windows", lambda w: w.same)
+    judged = aligned.filter(one_way & other_way).select(
+        "row_key", "item_id", "shift", "of", "n_words", longest_run(F.transform(equal, lambda w: w.pos)).alias("run"), "windows")
+    # Stretches overlap by half: shifts up to an item's length apart have one in common.
+    half = F.greatest("n_words", F.lit(WINDOW))
+    placed = judged.select("*", F.explode("windows").alias("w"), half.alias("half")).select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("turn"))
+    stretch = F.floor((F.col("shift") + F.col("turn") * F.col("half")) / (2 * F.col("half")))
+    stretches = placed.groupBy("row_key", "item_id", "turn", stretch.alias("stretch")).agg(
+        F.first("of").alias("of"), F.first("n_words").alias("n_words"), F.max("run").alias("run"), F.size(F.collect_set("w.pos")).alias("n_windows"),
+        F.size(F.collect_set(F.when(F.col("w.same"), F.col("w.pos")))).alias("n_same"))
+    long_run = F.col("run") >= F.least("n_words", F.lit(RUN)) - F.least("n_words", F.lit(WINDOW)) + 1
+    held = stretches.withColumn("coverage", F.col("n_windows") / F.col("of")).withColumn("enough", F.col("coverage") >= coverage)
+    best = held.filter(F.col("enough") | long_run).groupBy("row_key", "item_id").agg(
+        F.max(F.struct("n_windows", "coverage", ((F.col("n_same") == F.col("n_windows")) | ~F.col("enough")).alias("same"))).alias("b"))
     found = best.select("row_key", "item_id", "b.n_windows", "b.coverage", F.when(F.col("b.same"), "exact").otherwise("reparameterised").alias("kind"))
     return rows.select("doc_id", "row_key").join(found, "row_key").select("doc_id", "row_key", "item_id", "n_windows", "coverage", "kind")
 

@@ -152,6 +152,35 @@ def test_inconsistent_slots_are_no_match(spark):
     assert {r.doc_id for r in decontamination.contaminated(rows, benchmark).collect()} == {2}
 
 
+def passage(n, seed=0):
+    return [f"p{seed}word{i}x" for i in range(n)]
+
+
+def found_in(spark, items, texts):
+    """(doc_id, item_id, kind) of all pairs."""
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    return {(r.doc_id, r.item_id, r.kind) for r in decontamination.contaminated(rows, benchmark).collect()}
+
+
+def test_copies_with_inserted_and_deleted_words_are_found(spark):
+    """Windows are summed over the shifts of one stretch, not over the whole document; 13 equal words are enough."""
+    filler = passage(300, 9)
+    texts = []
+    for n, edits in ((20, 1), (37, 2), (59, 3)):
+        words = passage(n, n)
+        for i in range(edits, 0, -1):
+            words.insert(i * n // (edits + 1), "inserted")
+        texts.append(" ".join(filler + words + filler))
+    long = passage(59, 59)
+    texts.append(" ".join(filler + [w for i, w in enumerate(long) if i % 12 != 9] + filler))
+    texts.append(" ".join(filler + long[20:33] + filler))
+    texts.append(" ".join(filler + long[20:32] + filler))
+    texts.append(" ".join(sum((long[i:i + 9] + filler for i in range(0, 59, 9)), [])))
+    items = [" ".join(passage(n, n)) for n in (20, 37, 59)]
+    assert found_in(spark, items, texts) == {(0, 0, "exact"), (1, 1, "exact"), (2, 2, "exact"), (3, 2, "exact"), (4, 2, "exact")}
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_same_as_sql(spark, name):
     assert difference(duck(SMALL), ORACLE[name], QUERIES[name](spark, SMALL)) is None
