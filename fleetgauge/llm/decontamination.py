@@ -1,8 +1,8 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words of benchmark items and documents become templates: numbers, names and units are replaced with typed placeholders,
-their values are kept as slots. Windows of template words are hash-joined; the slots of all windows that one alignment of
-an item and a document shares must map onto each other one to one. Inserted and deleted words shift the alignment, so
+their values are kept as slots. Windows of template words are hash-joined; in the windows that one alignment of an
+item and a document shares, each value of the item must stand for one value of the document. Inserted and deleted words shift the alignment, so
 windows are summed over the alignments in one stretch of the document. A question is found as it stands (`exact`) and
 with other numbers, names or units put in (`reparameterised`).
 """
@@ -140,13 +140,27 @@ def longest_run(places: Column) -> Column:
     return F.aggregate(F.array_sort(F.array_distinct(places)), start, step, lambda a: a.best)
 
 
+def consistent(windows: str, pairs: str) -> Column:
+    """The windows of an alignment with changed slots, none of which has a value that stands for several ones.
+
+    Two values of the item may become equal in the document. `pairs` holds the distinct pairs of slots.
+    """
+    start = F.struct(F.lit(None).cast("string").alias("last"), F.array().cast("array<string>").alias("clashing"))
+    step = lambda a, p: F.struct(
+        p.ours.alias("last"), F.when(a.last == p.ours, F.concat(a.clashing, F.array(p.ours))).otherwise(a.clashing).alias("clashing"))
+    return F.aggregate(F.array_sort(F.col(pairs)), start, step, lambda a: F.filter(
+        windows, lambda w: ~w.same & ~F.arrays_overlap(w.slots, a.clashing)))
+
+
 def contaminated(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
                  item_text: str = "text", coverage: float = COVERAGE) -> DataFrame:
     """doc_id, row_key, item_id, n_windows, coverage and kind for each pair of a document and an item it holds.
 
-    coverage is the share of the item's windows that the best stretch of the document holds, each in an alignment with
-    consistent slots; kind is `exact` if all slots are equal, else `reparameterised`. Alignments are of one stretch if
-    their shifts are no farther apart than the item is long. A pair is listed if its coverage is reached, or if RUN words
+    coverage is the share of the item's windows that the best stretch of the document holds;
+    kind is `exact` if all slots are equal, else `reparameterised`. Alignments are of one stretch if
+    their shifts are no farther apart than the item is long. Windows without a changed slot always count; windows with one
+    do if no slot of theirs clashes (one value of the item, several ones in the alignment), and if they outnumber those of
+    the alignment that hold a clash. A pair is listed if its coverage is reached, or if RUN words
     in a row (the whole item, where it is shorter) are equal; then coverage may be less, and kind is `exact`. row_key is
     a hash of key and text, so equal rows share it and are listed once for each of them. Items with fewer than 3 words
     or without enough literal words are not searched for.
@@ -174,14 +188,16 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id"
     # Equal templates have their slots at equal places.
     paired = F.zip_with("slots", "theirs", lambda a, b: F.struct(a.alias("ours"), b.alias("theirs")))
     same = F.forall(paired, lambda p: p.ours == p.theirs)
+    window = F.struct("pos", same.alias("same"), "slots")
     aligned = joined.groupBy("row_key", "item_id", (F.col("at") - F.col("pos")).alias("shift")).agg(
         F.first("n_windows").alias("of"), F.first("n_words").alias("n_words"),
-        F.collect_set(F.struct("pos", same.alias("same"))).alias("windows"), F.array_distinct(F.flatten(F.collect_set(paired))).alias("pairs"))
-    one_way = F.size(F.array_distinct(F.transform("pairs", lambda p: p.ours))) == F.size("pairs")
-    other_way = F.size(F.array_distinct(F.transform("pairs", lambda p: p.theirs))) == F.size("pairs")
-    equal = F.filter("windows", lambda w: w.same)
-    judged = aligned.filter(one_way & other_way).select(
-        "row_key", "item_id", "shift", "of", "n_words", longest_run(F.transform(equal, lambda w: w.pos)).alias("run"), "windows")
+        F.collect_set(window).alias("windows"), F.array_distinct(F.flatten(F.collect_set(paired))).alias("pairs"))
+    places = lambda rows: F.transform(rows, lambda w: w.pos)
+    sorted_out = aligned.withColumns({
+        "equal": F.filter("windows", lambda w: w.same), "changed": consistent("windows", "pairs")})
+    judged = sorted_out.select(
+        "row_key", "item_id", "shift", "of", "n_words", longest_run(places("equal")).alias("run"),
+        F.when(2 * F.size("changed") > F.size("windows") - F.size("equal"), F.concat("equal", "changed")).otherwise(F.col("equal")).alias("windows"))
     # Stretches overlap by half: shifts up to an item's length apart have one in common.
     half = F.greatest("n_words", F.lit(WINDOW))
     placed = judged.select("*", F.explode("windows").alias("w"), half.alias("half")).select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("turn"))

@@ -181,6 +181,16 @@ def test_copies_with_inserted_and_deleted_words_are_found(spark):
     assert found_in(spark, items, texts) == {(0, 0, "exact"), (1, 1, "exact"), (2, 2, "exact"), (3, 2, "exact"), (4, 2, "exact")}
 
 
+def test_a_clash_costs_its_windows_only(spark):
+    words = passage(59)
+    words[15] = words[40] = "12"
+    copy = list(words)
+    copy[40] = "13"
+    both = ITEM.replace("12", "5").replace("5 days", "8 days")
+    texts = [" ".join(copy), both.replace("7", "9").replace("3 ", "9 "), both.replace("Anna", "Clara").replace("7 pears", "5 pears"), MIXED]
+    assert found_in(spark, [" ".join(words), ITEM], texts) == {(0, 0, "exact"), (1, 1, "reparameterised"), (2, 1, "reparameterised")}
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_same_as_sql(spark, name):
     assert difference(duck(SMALL), ORACLE[name], QUERIES[name](spark, SMALL)) is None
