@@ -191,6 +191,18 @@ def test_a_clash_costs_its_windows_only(spark):
     assert found_in(spark, [" ".join(words), ITEM], texts) == {(0, 0, "exact"), (1, 1, "reparameterised"), (2, 1, "reparameterised")}
 
 
+def test_copies_are_found_whatever_their_words_and_capitals(spark):
+    named = " ".join(f"Name{i}a calls p{i}q" if i % 2 else f"Name{i}b sees" for i in range(20))
+    items = ["Complete the sequence: 1 4 9 16 25 36 49 64", "What is the capital of France?", named, "ribosome translocation", "7 8 9"]
+    filler = passage(40, 9)
+    texts = [" ".join([*filler, items[0], *filler]), "# Geography\nWhat is the capital of France? It is Paris", named.lower(), named.upper(),
+             "Sum of ribosome translocation here", "6 7 8 9 10", "# Geography\nWhat is the capital of Spain? It is Madrid",
+             "they asked: what is the capital of Italy? it is", "1 4 9 17 25 36 49 65", "the ribosome and translocation"]
+    assert found_in(spark, items, texts) == {
+        (0, 0, "exact"), (1, 1, "exact"), (2, 2, "exact"), (3, 2, "exact"), (4, 3, "exact"), (5, 4, "exact"),
+        (6, 1, "reparameterised"), (7, 1, "reparameterised")}
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_same_as_sql(spark, name):
     assert difference(duck(SMALL), ORACLE[name], QUERIES[name](spark, SMALL)) is None
