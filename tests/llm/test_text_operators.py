@@ -1,6 +1,7 @@
 """Operators on single texts and rows against brute force, with nulls, empty and long texts, ties and odd columns."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -292,6 +293,18 @@ def test_contexts_find_unseen_identifiers(spark, documents, nothing):
     assert private_data.find(nothing).count() == 0
 
 
+def test_contexts_of_seeds_without_digits(spark):
+    """Addresses without a digit are seeds too; words without a digit are found where their pattern stands, and only there."""
+    names = ["".join(p) for p in itertools.product("abcdef", "ghijkl")]
+    rows = [(i, f"Text of some kind\nplease write to mailbox: {n}ne@{n}.example, thanks") for i, n in enumerate(names)]
+    rows += [(100, "you can write to mailbox: alice(at)example or wait"), (101, "alice(at)example is no context"), (102, "thanks for some text"),
+             (103, "you  write to mailbox: bob"), (104, "bob was here")]
+    found = {r.doc_id: r for r in private_data.find(spark.createDataFrame(rows, SCHEMA)).collect()}
+    got = {k: [(s.kind, rows[36 + k - 100][1][s.start:s.end]) for s in found[k].spans] for k in range(100, 105)}
+    assert got == {100: [("like_email", "alice(at)example")], 101: [], 102: [], 103: [("like_email", "bob")], 104: []}
+    assert all([s.kind for s in found[i].spans] == ["email"] for i in range(36))
+
+
 def test_held_out_fold(spark):
     from fleetgauge.llm.common import held_out
     rows = spark.createDataFrame([(i,) for i in range(200)], "doc_id long")
