@@ -19,6 +19,9 @@ CHUNK_BYTES = 1 << 20
 #: Bytes of a batch on its way to a Python worker, beyond which Spark begins another one.
 BATCH_BYTES = 4 << 20
 
+#: What separates words, as a regular expression of Spark; words are what lies between.
+SPACE = r"[\x20\x09-\x0D]+"
+
 _kept: dict[Hashable, Any] = {}
 
 

@@ -8,8 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, jaccard, languages, packing, private_data, quality, sharding, token_files, toxicity
-from .common import held_out, table
+from . import (
+    chat, decontamination, extraction, filter_audit, jaccard, languages, packing, periodic_runs, private_data, quality, sharding,
+    token_files, toxicity,
+)
+from .common import SPACE, held_out, table
 
 SHARDS = 8
 
@@ -112,9 +115,43 @@ def op10_bootstrapped_pii(spark: SparkSession, folder: str) -> DataFrame:
         private_data.spelled(F.col("spans")).alias("spans"))
 
 
+def op11_ratio_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return extraction.extract(table(spark, folder, "pages"))
+
+
+def with_repeats(documents: DataFrame) -> DataFrame:
+    """doc_id and text, where the text of one in ten documents, by the checksum of its id, ends in a passage said again
+    and again: with h the checksum (a null id counts as ''), g = h // 10 and n words, word i from a = g % n on becomes
+    word a + (i - a) % (1 + (n - a) // (3 + g % 8))."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    chosen = F.when(h % 10 == 0, F.array_remove(F.split("text", SPACE), ""))
+    rows = documents.select("doc_id", "text", F.expr("crc32(coalesce(cast(doc_id AS string), '')) div 10").alias("_g"), chosen.alias("_words"))
+    sized = rows.withColumn("_n", F.size("_words")).withColumn("_a", F.when(F.col("_n") > 0, F.col("_g") % F.col("_n"))).withColumn(
+        "_p", F.expr("1 + (_n - _a) div (3 + _g % 8)"))
+    again = F.transform("_words", lambda w, i: F.when(i < F.col("_a"), w).otherwise(
+        F.get("_words", (F.col("_a") + (i - F.col("_a")) % F.col("_p")).cast("int"))))
+    return sized.select("doc_id", F.when(F.col("_n") > 0, F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic_runs.find(with_repeats(table(spark, folder, "documents")))
+    longest = F.reduce("runs", F.get("runs", F.lit(0)), lambda best, r: F.when(r.length * best.period > best.length * r.period, r).otherwise(best))
+    said = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, r.period)), "\n")
+    return found.withColumn("_best", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "_best.start", "_best.length", "_best.period",
+        F.expr("1000 * _best.length div _best.period").alias("exponent_milli"),
+        F.sha2(F.concat(said, F.when(F.size("runs") > 0, "\n").otherwise("")).cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+def op13_filter_interactions(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_language_mixture, op2_template_decontamination, op3_feistel_shards, op4_arrow_token_files, op5_compression_toxicity,
-    op6_nnls_packing, op7_fingerprint_chat, op8_tokenizer_fertility, op9_size_aware_jaccard, op10_bootstrapped_pii)}
+    op6_nnls_packing, op7_fingerprint_chat, op8_tokenizer_fertility, op9_size_aware_jaccard, op10_bootstrapped_pii,
+    op11_ratio_extraction, op12_periodic_runs, op13_filter_interactions)}
 
 # Escaping is undone before the hashes, so SQL can state them from the rows; the length is that of the escaped texts and
 # three marks a turn.
@@ -158,6 +195,39 @@ reached(node, root) AS (
 least AS (SELECT node, min(root) AS component_id FROM reached GROUP BY node)
 SELECT d.doc_id, CAST(len(d.s) AS BIGINT) AS n_shingles, CASE WHEN len(d.s) = 0 THEN d.doc_id ELSE l.component_id END AS component_id
 FROM shingled d JOIN same ON list_sort(d.s) = same.s JOIN least l ON l.node = same.rep""",
+    # Shapley values here are sums over all orders, step by step.
+    "op13_filter_interactions": """
+WITH base AS (
+    SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+first AS (SELECT t, min(doc_id) AS least FROM base GROUP BY t),
+known AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+failed AS (
+    SELECT part, CAST(len(w) < 100 AS INT) + 2 * CAST(100 * len(list_distinct(w)) < 80 * len(w) AS INT)
+        + 4 * CAST(100 * len(regexp_extract_all(t, '[A-Z]')) > 10 * length(t) AS INT)
+        + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT) + 16 * CAST(coalesce(base.doc_id > least, false) AS INT) AS mask,
+        coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+    FROM base JOIN first USING (t) LEFT JOIN known ON known.doc_id = base.doc_id),
+counts AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM failed GROUP BY ALL),
+letters AS (SELECT substr('ABCDE', i, 1) AS letter, 1 << (i - 1) AS bit FROM (SELECT unnest(range(1, 6))::INT AS i)),
+orders AS (
+    SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order
+    FROM letters a, letters b, letters c, letters d, letters e WHERE (a.bit | b.bit | c.bit | d.bit | e.bit) = 31),
+steps AS (
+    SELECT filter_order, step, l.bit AS own,
+        coalesce((SELECT sum(p.bit) FROM letters p WHERE instr(substr(filter_order, 1, step - 1), p.letter) > 0), 0)::INT AS before
+    FROM orders, (SELECT unnest(range(1, 6))::INT AS step) JOIN letters l ON l.letter = substr(filter_order, step, 1)),
+each AS (
+    SELECT part, filter_order, step, own, sum(CASE WHEN (mask & (before | own)) = 0 THEN n ELSE 0 END) AS kept,
+        sum(CASE WHEN (mask & before) = 0 AND (mask & own) <> 0 THEN n ELSE 0 END) AS removed,
+        sum(CASE WHEN (mask & before) <> 0 AND (mask & own) <> 0 THEN n ELSE 0 END) AS redundant,
+        sum(CASE WHEN mask = own THEN n ELSE 0 END) AS unique_fails,
+        sum(CASE WHEN (mask & before) = 0 AND (mask & own) <> 0 THEN good ELSE 0 END) AS good_lost,
+        sum(CASE WHEN (mask & before) = 0 AND (mask & own) <> 0 THEN toxic ELSE 0 END) AS toxic_lost
+    FROM counts, steps GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+    CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+    CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM each""",
 }
 
 __all__ = ["ORACLE", "QUERIES", "conversation_records", "vocabulary"]
