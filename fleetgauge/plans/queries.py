@@ -749,72 +749,76 @@ def json_encode(t: Telemetry) -> DataFrame:
 
 # --- streams ---------------------------------------------------------------
 
-def _stream(t: Telemetry, purpose: str, rows: DataFrame) -> DataFrame:
-    """Lands rows with an event time, and a mark a day after the last of them, and reads them as a stream.
-
-    A watermark only moves with newer rows; the mark stands for the next read of a running collector.
-    """
+def _in_landings(t: Telemetry, purpose: str, rows: DataFrame, later: Column, begin: Callable) -> None:
+    """Lands rows in two goes, those of `later` last, and runs the stream that `begin` starts after each of them."""
     path = run_dir(t.spark, purpose)
-    timed = rows.withColumn("event_time", fn.instant(F.col("timestamp")))
-    mark = timed.agg(F.max("event_time").alias("last")).select((F.col("last") + F.expr("INTERVAL 1 DAY")).alias("event_time"))
-    marked = timed.unionByName(mark, allowMissingColumns=True)
-    marked.write.parquet(path)
-    return t.spark.readStream.schema(marked.schema).parquet(path)
+    for go in (False, True):
+        rows.filter(F.coalesce(later, F.lit(False)) == go).write.mode("append").parquet(path)
+        begin(t.spark.readStream.schema(rows.schema).parquet(path)).awaitTermination()
 
 
-def _finished(t: Telemetry, purpose: str, stream: DataFrame) -> DataFrame:
-    """Runs a stream over what has landed and gives what it wrote."""
-    path = run_dir(t.spark, purpose)
-    stream.writeStream.format("parquet").option("path", path).option(
-        "checkpointLocation", run_dir(t.spark, f"{purpose}-checkpoint")).trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.schema(stream.schema).parquet(path)
+def _timed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("event_time", fn.instant(F.col("timestamp")))
 
 
 @query
 def stream_waits_5s(t: Telemetry) -> DataFrame:
-    waits = _stream(t, "waits", t.raw_waits())
-    samples = _stream(t, "samples", t.samples())
-    summary = _finished(t, "wait-summary", streaming.stream_wait_summary(waits, samples))
-    return summary.filter("instance_id IS NOT NULL")
+    """Half of the statements land after their waits, and half of the waits after their statements."""
+    waits, samples = _timed(t.raw_waits()), _timed(t.samples())
+    folders = run_dir(t.spark, "waits"), run_dir(t.spark, "statements")
+    late = F.col("nesting_event_id") % 4 < 2, F.col("event_id") % 2 == 0
+    summaries, checkpoint = streaming.WaitSummaries(run_dir(t.spark, "wait-summary"), parts=8), run_dir(t.spark, "waits-checkpoint")
+    for go in (False, True):
+        for rows, folder, second in zip((waits, samples), folders, late):
+            rows.filter(second == go).write.mode("append").parquet(folder)
+        landed = (t.spark.readStream.schema(rows.schema).parquet(folder) for rows, folder in zip((waits, samples), folders))
+        streaming.stream_wait_summary(*landed, summaries, checkpoint, once=True).awaitTermination()
+    return summaries.summary(t.spark)
 
 
 @query
 def stream_tail(t: Telemetry) -> DataFrame:
-    events = _stream(t, "tail", t.raw_waits().unionByName(t.raw_waits()))
-    fresh = _finished(t, "fresh", streaming.stream_tail(events))
-    return fresh.filter("instance_id IS NOT NULL").select("instance_id", "thread_id", "event_id")
+    """Everything twice: the whole history lands again in the second go, with new events behind it."""
+    rows = t.raw_waits()
+    tail = streaming.EventTail(run_dir(t.spark, "tail"), parts=8)
+    checkpoint = run_dir(t.spark, "tail-checkpoint")
+    middle = rows.groupBy("instance_id", "thread_id").agg(F.expr("min(event_id) + (max(event_id) - min(event_id)) / 2").alias("_middle"))
+    twice = rows.withColumn("_again", F.lit(False)).unionByName(rows.withColumn("_again", F.lit(True))).join(middle, ["instance_id", "thread_id"])
+    landing = twice.filter(F.col("_again") | (F.col("event_id") <= F.col("_middle"))).drop("_middle")
+    _in_landings(t, "tail-landing", landing, F.col("_again"),
+                 lambda stream: streaming.stream_tail(stream.drop("_again"), tail, checkpoint, once=True))
+    return tail.events(t.spark, rows.schema).select("instance_id", "thread_id", "event_id")
 
 
 @query
 def stream_to_lake(t: Telemetry) -> DataFrame:
-    path, base = run_dir(t.spark, "landing"), run_dir(t.spark, "stream-lake")
-    t.metrics().write.parquet(path)
-    rows = t.spark.readStream.schema(t.metrics().schema).parquet(path)
-    streaming.stream_to_lake(rows, streaming.LakeStream(
-        base, "metrics", run_dir(t.spark, "lake-checkpoint"), once=True)).awaitTermination()
+    base, checkpoint = run_dir(t.spark, "stream-lake"), run_dir(t.spark, "lake-checkpoint")
+    _in_landings(t, "landing", t.metrics(), F.col("metric_name") > "innodb", lambda stream: streaming.stream_to_lake(
+        stream, streaming.LakeStream(base, "metrics", checkpoint, once=True)))
     return sources.read_lake(t.spark, base, "metrics").drop("date")
 
 
 @query
 def stream_findings(t: Telemetry) -> DataFrame:
-    snapshots = _stream(t, "snapshots", t.global_variables().withColumn("timestamp", F.lit(CYCLE_TIME)))
-    found = _finished(t, "findings", streaming.stream_findings(snapshots))
-    return found.select(*_rule_columns())
+    """Half of the variables of every snapshot land late."""
+    rows = _timed(t.global_variables().withColumn("timestamp", F.lit(CYCLE_TIME)))
+    found = streaming.StreamedFindings(run_dir(t.spark, "findings"), parts=8)
+    checkpoint = run_dir(t.spark, "findings-checkpoint")
+    _in_landings(t, "variables", rows, F.xxhash64("variable_name") % 2 == 0,
+                 lambda stream: streaming.stream_findings(stream, found, checkpoint, once=True))
+    return found.findings(t.spark, rows.schema).select(*_rule_columns())
 
 
 @query
 def counter_rate_stream(t: Telemetry) -> DataFrame:
-    """Digest snapshots in two landings, before and after a month; steps across the cut are there too."""
-    path, out = run_dir(t.spark, "counters"), run_dir(t.spark, "steps")
+    """Digest snapshots in two landings: in the second are snapshots before, between and after those of the first."""
     keys = ("instance_id", "schema_name", "digest")
     rows = t.query_digests().select(*keys, "timestamp", "exec_count")
-    steps = streaming.CounterSteps(keys, ("exec_count",), out, run_dir(t.spark, "last-values"))
+    steps = streaming.CounterSteps(keys, ("exec_count",), run_dir(t.spark, "steps"), parts=8, period=4)
     checkpoint = run_dir(t.spark, "steps-checkpoint")
-    for later in (False, True):
-        rows.filter((F.col("timestamp") >= SNAPSHOT) == later).write.mode("append").parquet(path)
-        stream = t.spark.readStream.schema(rows.schema).parquet(path)
-        streaming.stream_counter_steps(stream, steps, checkpoint, once=True).awaitTermination()
-    return t.spark.read.parquet(f"{out}/batch=*")
+    _in_landings(t, "counters", rows, F.crc32(F.col("timestamp").cast("binary")) % 2 == 0,
+                 lambda stream: streaming.stream_counter_steps(stream, steps, checkpoint, once=True))
+    return steps.steps(t.spark, rows.schema)
 
 
 # --- additions -------------------------------------------------------------

@@ -35,7 +35,8 @@ def read_lake(
     nothing was filled in later can say so with `written_until`, a day of folders.
     """
     schema = T.StructType([*DATASETS[dataset].fields, T.StructField("date", T.DateType(), True)])
-    rows = spark.read.schema(schema).parquet(f"{base.rstrip('/')}/{dataset}")
+    # A lake that a stream writes has its folders below those of the batches.
+    rows = spark.read.schema(schema).parquet(f"{base.rstrip('/')}/{dataset}").select(*schema.names)
     if instance is not None:
         rows = rows.filter(F.col("instance_id") == instance)
     if since is not None:

@@ -9,35 +9,34 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..schemas import DATASETS
-from ..sinks.lake import PARTITIONS, ROWS_PER_FILE
+from ..sinks.lake import PARTITIONS, ROWS_PER_FILE, sized
+from .cells import start
 
 
 @dataclass(frozen=True)
 class LakeStream:
-    """Where and how often a stream is written; the defaults are the collector's."""
+    """Where and how often a stream is written; the defaults are the collector's.
+
+    Every interval is a batch write of its own, below `{base}/{dataset}/batch=N`, cut like any other folder of the lake. The
+    rows of a large instance are dealt over as many tasks as their size asks for. An interval that is run again replaces
+    what its first try wrote, so no row is there twice. An interval without rows writes nothing.
+    """
 
     base: str
     dataset: str
     checkpoint: str
     every: str = "5 minutes"
     once: bool = False       # write what is there and stop
-    files_per_instance: int = 4
 
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        schema = DATASETS[self.dataset]
+        typed = batch.select(
+            *(F.col(field.name).cast(field.dataType).alias(field.name) for field in schema.fields),
+            F.to_date(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone())).alias("date"))
+        sized(typed).write.mode("overwrite").partitionBy(*PARTITIONS).option("maxRecordsPerFile", ROWS_PER_FILE).parquet(
+            f"{self.base.rstrip('/')}/{self.dataset}/batch={number}")
 
-def stream_to_lake(rows: DataFrame, sink: LakeStream) -> StreamingQuery:
-    """Starts the writer. The file sink commits each interval once, whatever task or driver is lost.
 
-    An instance is written by at most `files_per_instance` tasks, so small ones
-    make few files and a large one is not left to a single task.
-    """
-    schema = DATASETS[sink.dataset]
-    typed = rows.select(
-        *(F.col(field.name).cast(field.dataType).alias(field.name) for field in schema.fields),
-        F.to_date(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone())).alias("date"))
-    part = F.pmod(F.xxhash64(*(field.name for field in schema.fields)), F.lit(sink.files_per_instance))
-    placed = typed.withColumn("_part", part).repartition("instance_id", "_part").drop("_part")
-    writer = placed.writeStream.format("parquet").partitionBy(*PARTITIONS).option(
-        "path", f"{sink.base.rstrip('/')}/{sink.dataset}").option("checkpointLocation", sink.checkpoint).option(
-        "maxRecordsPerFile", ROWS_PER_FILE)
-    writer = writer.trigger(availableNow=True) if sink.once else writer.trigger(processingTime=sink.every)
-    return writer.start()
+def stream_to_lake(rows: DataFrame, sink: LakeStream) -> StreamingQuery:
+    """Starts the writer."""
+    return start(rows, sink, sink.checkpoint, sink.every, sink.once)

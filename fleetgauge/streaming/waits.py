@@ -1,45 +1,106 @@
-"""Wait events per statement and five seconds of event time, continuously."""
+"""Wait events per statement and five seconds of event time, continuously, whatever comes first."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.query import StreamingQuery
 
-from ..functions import or_empty, utc_text
+from ..functions import five_second_bucket, or_empty, utc_text
+from ..schemas import COUNTER
+from .cells import CELL, CellTable, cell_of, names, start
 
 KEYS = ("instance_id", "cluster_id", "parent_digest", "event_name")
+OWN = ("instance_id", "cluster_id", "nesting_event_id", "event_name", "timestamp")
+STATEMENT = ("instance_id", "nesting_event_id")
+SUMMED = T.StructType([
+    *(T.StructField(n, COUNTER if n == "nesting_event_id" else T.StringType()) for n in OWN),
+    T.StructField("count", COUNTER), T.StructField("total_wait", COUNTER)])
+PARENTS = T.StructType([
+    T.StructField("instance_id", T.StringType()), T.StructField("nesting_event_id", COUNTER),
+    T.StructField("seen", T.TimestampType()), T.StructField("digest", T.StringType())])
+MOVES = T.StructType([*(T.StructField(n, T.StringType()) for n in (*KEYS, "timestamp")),
+                      T.StructField("count", COUNTER), T.StructField("total_wait", COUNTER)])
 
 
-def stream_wait_summary(
-    waits: DataFrame, samples: DataFrame, lateness: str = "1 minute", longest_statement: str = "10 minutes"
-) -> DataFrame:
-    """Streams of waits and samples, both with `event_time`, to wait-event rows (append mode).
-
-    The waits of a statement are summed per event and bucket before the join, so
-    neither a statement with very many waits nor the waits outside any statement
-    (nesting id 0, which never match) pile up in the state of one key. A statement
-    is collected when it ends, so its waits may have been seen before it, or after
-    it where histories are read at different times: a bucket lies at most
-    `longest_statement` from its statement on either side, which lets Spark drop
-    old state. Give it the longest running time that is to be attributed. Rows later than `lateness` are dropped.
+@dataclass(frozen=True)
+class WaitSummaries:
+    """Below `path`, sums of waits per statement, event and bucket; statements; and what each batch changed of the summary.
+
+    Waits and statements may arrive in any order and at any distance. A wait whose statement is not known counts under the
+    digest ''; when the statement comes, its sums move: the batch takes them from '' and adds them to the digest. The same
+    happens where a statement comes again with a newer digest. So the summary is the sum of what all batches wrote.
+
+    The waits of a statement are summed per event and bucket at once, so one with very many is a few rows. Both tables are
+    cut into cells by a hash of instance and statement and by range of statement ids (`span` ids each), which grow, so
+    that old cells rest. Waits outside any statement (id 0 or null) have no partner and are kept in no table.
     """
-    by_parent = waits.withWatermark("event_time", lateness).groupBy(
-        "instance_id", "cluster_id", F.coalesce("nesting_event_id", F.lit(0)).alias("nesting_event_id"), "event_name",
-        F.window("event_time", "5 seconds"),
-    ).agg(F.count("*").alias("_count"), F.sum("timer_wait").alias("_wait")).select(
-        "instance_id", "cluster_id", "nesting_event_id", "event_name", "_count", "_wait",
-        F.window_time("window").alias("bucket_time"))
-    parents = samples.withWatermark("event_time", lateness).dropDuplicatesWithinWatermark(
-        ["instance_id", "event_id"]).select(
-        F.col("instance_id").alias("_instance"), F.col("event_id").alias("_event"),
-        or_empty(F.col("digest")).alias("_digest"), F.col("event_time").alias("_started"))
-    tagged = by_parent.join(
-        parents,
-        (F.col("instance_id") == F.col("_instance")) & (F.col("nesting_event_id") == F.col("_event"))
-        & (F.col("bucket_time") >= F.col("_started") - F.expr(f"INTERVAL {longest_statement}"))
-        & (F.col("bucket_time") <= F.col("_started") + F.expr(f"INTERVAL {longest_statement}")),
-        "left_outer",
-    ).withColumn("parent_digest", or_empty(F.col("_digest")))
-    return tagged.groupBy(*KEYS, F.window("bucket_time", "5 seconds")).agg(
-        F.sum("_count").alias("count"), F.sum("_wait").alias("total_wait"),
-    ).select(*KEYS, "count", "total_wait", utc_text(F.col("window.start")).alias("timestamp"))
+
+    path: str
+    parts: int = 64
+    span: int = 10_000_000
+
+    def _table(self, name: str) -> CellTable:
+        return CellTable(f"{self.path.rstrip('/')}/{name}")
+
+    def _cell(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn(CELL, cell_of(STATEMENT, self.parts, F.expr(f"cast(nesting_event_id div {self.span} AS string)")))
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        bucket = five_second_bucket(utc_text(F.col("event_time"))).alias("timestamp")
+        waits = batch.filter("_wait").select(
+            "instance_id", "cluster_id", F.coalesce("nesting_event_id", F.lit(0)).cast(COUNTER).alias("nesting_event_id"), "event_name", bucket, "timer_wait",
+        ).groupBy(*OWN).agg(F.count("*").cast(COUNTER).alias("count"), F.sum("timer_wait").cast(COUNTER).alias("total_wait"))
+        waits = self._cell(waits).persist()
+        newest = F.max(F.struct(F.col("event_time").alias("seen"), or_empty(F.col("digest")).alias("digest"))).alias("_p")
+        said = self._cell(batch.filter("NOT _wait AND event_id IS NOT NULL").groupBy(
+            "instance_id", F.col("event_id").cast(COUNTER).alias("nesting_event_id")).agg(newest).select(*STATEMENT, "_p.*")).persist()
+        within = waits.filter("nesting_event_id != 0")
+        touched = list({*names(within), *names(said)})
+        sums = self._table("waits").read(spark, SUMMED, touched, before=number)
+        parents = self._table("statements").read(spark, PARENTS, touched, before=number).persist()
+        newer = parents.unionByName(said).groupBy(CELL, *STATEMENT).agg(F.max(F.struct("seen", "digest")).alias("_p")).select(
+            CELL, *STATEMENT, "_p.*").persist()
+
+        same = lambda table, digest: table.select(*(F.col(k).alias(f"_{k}") for k in STATEMENT), F.col("digest").alias(digest))
+        on = F.col("instance_id").eqNullSafe(F.col("_instance_id")) & (F.col("nesting_event_id") == F.col("_nesting_event_id"))
+        tagged = lambda rows, table, digest: rows.join(same(table, digest), on, "left").drop(*(f"_{k}" for k in STATEMENT))
+        came = tagged(within, newer, "_to").unionByName(waits.filter("nesting_event_id = 0").withColumn("_to", F.lit(None).cast("string")))
+        came = came.select(*OWN, or_empty(F.col("_to")).alias("parent_digest"), "count", "total_wait")
+        # Sums that were there before move if the digest of their statement changed.
+        changed = newer.join(same(parents, "_from"), on, "left").withColumn("_from", or_empty(F.col("_from"))).filter("digest != _from").select(
+            *STATEMENT, F.array(F.struct(F.col("_from").alias("parent_digest"), F.lit(-1).alias("sign")),
+                                F.struct(F.col("digest").alias("parent_digest"), F.lit(1).alias("sign"))).alias("_moves"))
+        moved = sums.join(changed.select(*(F.col(k).alias(f"_{k}") for k in STATEMENT), "_moves"), on).select(
+            *OWN, "count", "total_wait", F.inline("_moves")).select(
+            *OWN, "parent_digest", (F.col("count") * F.col("sign")).cast(COUNTER).alias("count"), (F.col("total_wait") * F.col("sign")).cast(COUNTER).alias("total_wait"))
+        moves = came.unionByName(moved).groupBy(*KEYS, "timestamp").agg(
+            F.sum("count").cast(COUNTER).alias("count"), F.sum("total_wait").cast(COUNTER).alias("total_wait"))
+        moves.filter("count != 0 OR total_wait != 0").select(*MOVES.names).write.mode("overwrite").parquet(
+            f"{self.path.rstrip('/')}/moves/batch={number}")
+        self._table("waits").replace(number, within.unionByName(sums).groupBy(CELL, *OWN).agg(
+            F.sum("count").cast(COUNTER).alias("count"), F.sum("total_wait").cast(COUNTER).alias("total_wait")), touched)
+        self._table("statements").replace(number, newer, touched)
+        for frame in (waits, said, parents, newer):
+            frame.unpersist()
+
+    def summary(self, spark: SparkSession) -> DataFrame:
+        """Wait-event rows as all batches together say."""
+        moves = spark.read.schema(MOVES).parquet(f"{self.path.rstrip('/')}/moves")
+        return moves.groupBy(*KEYS, "timestamp").agg(
+            F.sum("count").cast(COUNTER).alias("count"), F.sum("total_wait").cast(COUNTER).alias("total_wait"),
+        ).filter("count != 0").select(*KEYS, "count", "total_wait", "timestamp")
+
+
+def stream_wait_summary(
+    waits: DataFrame, samples: DataFrame, summaries: WaitSummaries, checkpoint: str, every: str = "1 minute", once: bool = False
+) -> StreamingQuery:
+    """Starts one query on the streams of waits and of statements, both with `event_time`; `summaries.summary` reads its result."""
+    own = ("instance_id", "cluster_id", "nesting_event_id", "event_name", "timer_wait", "event_time")
+    rows = waits.select(*own, F.lit(True).alias("_wait")).unionByName(
+        samples.select("instance_id", "event_id", "digest", "event_time", F.lit(False).alias("_wait")), allowMissingColumns=True)
+    return start(rows, summaries, checkpoint, every, once)
