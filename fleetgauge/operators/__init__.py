@@ -14,7 +14,7 @@ from .reports import (
 from .sampling import buffer_lifespan, sampling_advice
 from .schema_docs import assemble_schemas
 from .skew import hot_keys, spread_join
-from .snapshots import latest_per_instance, latest_snapshot, snapshot_at, snapshot_times
+from .snapshots import latest_in_lake, latest_per_instance, latest_snapshot, snapshot_at, snapshot_times
 from .summary import fleet_summary, schema_sizes, status_stats
 from .waits import aggregate_waits, correlate_waits, sample_digests, wait_summary
 
@@ -22,7 +22,7 @@ __all__ = [
     "aggregate_waits", "all_failing_spans", "all_metrics", "assemble_schemas", "buffer_lifespan", "by_severity",
     "check_variables", "correlate_waits", "counter_delta", "counter_delta_fleet", "counter_increase",
     "duplicate_indexes", "findings_by_category", "fleet_summary", "health_streaks", "hot_keys",
-    "instance_connections", "instance_queries", "largest_digests", "latest_per_instance", "latest_snapshot",
+    "instance_connections", "instance_queries", "largest_digests", "latest_in_lake", "latest_per_instance", "latest_snapshot",
     "metric_like", "metric_series", "most_read_indexes", "no_index_queries", "poll_outcome", "rule_context",
     "rule_runs", "sample_digests", "sampling_advice", "schema_drift", "schema_sizes", "snapshot_at",
     "snapshot_times", "spread_join", "status_stats", "tmp_disk_queries", "top_queries", "topology_diff",

@@ -224,6 +224,8 @@ ORACLE: dict[str, str] = {
         SELECT {DIGEST_COLUMNS} FROM query_digests WHERE timestamp = (SELECT max(timestamp) FROM query_digests)"""),
     "latest_per_instance": over_views("""
         SELECT * FROM metrics QUALIFY timestamp = max(timestamp) OVER (PARTITION BY instance_id)"""),
+    "latest_in_lake": over_views(f"""
+        SELECT {DIGEST_COLUMNS} FROM query_digests QUALIFY timestamp = max(timestamp) OVER (PARTITION BY instance_id)"""),
     "topology_diff": over_views("""
         SELECT cluster_id, server_id, server_id || ':3306' AS endpoint,
                CASE WHEN old IS NULL THEN 'added'

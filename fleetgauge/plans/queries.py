@@ -441,6 +441,11 @@ def latest_per_instance(t: Telemetry) -> DataFrame:
     return op.latest_per_instance(t.metrics())
 
 
+@query
+def latest_in_lake(t: Telemetry) -> DataFrame:
+    return op.latest_in_lake(t.spark, _lake(t, "latest"), "query-digests").select(*DIGEST_COLUMNS)
+
+
 @query
 def topology_diff(t: Telemetry) -> DataFrame:
     return op.topology_diff(t.known_members(), t.discovered_members())

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import DATASETS
+from . import bounds
 
 
 def _day(value: dt.date | str) -> dt.date:
@@ -24,6 +25,7 @@ def read_lake(
     since: dt.date | str | None = None,
     until: dt.date | str | None = None,
     written_until: dt.date | str | None = None,
+    metadata: bool = False,
 ) -> DataFrame:
     """One dataset of the lake, with the partition column `date`.
 
@@ -31,12 +33,15 @@ def read_lake(
     is opened to infer anything. `since` and `until` are days of the samples.
     The `date` folder is the day of *writing*. No row is written before it was
     taken, so folders before `since` are left out; a row may be written at any
-    time after, so `until` cuts rows by their own timestamp only. Who knows that
-    nothing was filled in later can say so with `written_until`, a day of folders.
+    time after. Which later folders hold nothing up to `until` is known from the
+    bounds that each write notes (see `bounds`); these are left out as well, and
+    folders without bounds are read. Who knows that nothing was filled in later
+    can say so with `written_until`, a day of folders. `metadata` adds Spark's
+    `_metadata` of the file that a row is in.
     """
     schema = T.StructType([*DATASETS[dataset].fields, T.StructField("date", T.DateType(), True)])
     # A lake that a stream writes has its folders below those of the batches.
-    rows = spark.read.schema(schema).parquet(f"{base.rstrip('/')}/{dataset}").select(*schema.names)
+    rows = spark.read.schema(schema).parquet(f"{base.rstrip('/')}/{dataset}").select(*schema.names, *["_metadata"] * metadata)
     if instance is not None:
         rows = rows.filter(F.col("instance_id") == instance)
     if since is not None:
@@ -47,6 +52,11 @@ def read_lake(
         rows = rows.filter(F.col("timestamp") < (last + dt.timedelta(days=1)).isoformat())
     if written_until is not None:
         rows = rows.filter(F.col("date") <= F.lit(_day(written_until)))
+    if (since is not None or until is not None) and (noted := bounds.known(spark, base, dataset)) is not None:
+        ends = None if until is None else (_day(until) + dt.timedelta(days=1)).isoformat()
+        outside = bounds.days_outside(noted, None if since is None else _day(since).isoformat(), ends, instance)
+        if outside:
+            rows = rows.filter(~F.col("date").isin(*outside))
     return rows
 
 

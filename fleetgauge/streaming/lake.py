@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from ..schemas import DATASETS
 from ..sinks.lake import PARTITIONS, ROWS_PER_FILE, sized
+from ..sources import bounds
 from .cells import start
 
 
@@ -29,12 +31,13 @@ class LakeStream:
     once: bool = False       # write what is there and stop
 
     def __call__(self, batch: DataFrame, number: int) -> None:
-        schema = DATASETS[self.dataset]
+        spark, schema, today = batch.sparkSession, DATASETS[self.dataset], dt.datetime.now(dt.timezone.utc).date()
         typed = batch.select(
-            *(F.col(field.name).cast(field.dataType).alias(field.name) for field in schema.fields),
-            F.to_date(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone())).alias("date"))
-        sized(typed).write.mode("overwrite").partitionBy(*PARTITIONS).option("maxRecordsPerFile", ROWS_PER_FILE).parquet(
-            f"{self.base.rstrip('/')}/{self.dataset}/batch={number}")
+            *(F.col(field.name).cast(field.dataType).alias(field.name) for field in schema.fields), F.lit(today).alias("date"))
+        path = f"{self.base.rstrip('/')}/{self.dataset}/batch={number}"
+        write = bounds.announce(spark, self.base, self.dataset, [today])
+        sized(typed).write.mode("overwrite").partitionBy(*PARTITIONS).option("maxRecordsPerFile", ROWS_PER_FILE).parquet(path)
+        bounds.note(spark, self.base, self.dataset, write, spark.read.schema(typed.schema).parquet(path))
 
 
 def stream_to_lake(rows: DataFrame, sink: LakeStream) -> StreamingQuery:

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetgauge import (
-    compact_lake, envelopes, object_store_settings, payloads, read_lake, register_views, shared_dir, topic_of, write_envelopes,
+    compact_lake, envelopes, latest_in_lake, object_store_settings, payloads, read_lake, register_views, shared_dir, topic_of, write_envelopes,
     write_lake, write_report,
 )
 from fleetgauge.schemas import DATASETS, METRICS
@@ -25,7 +25,17 @@ def metrics(spark, *rows):
 
 
 def files(base, pattern="**/*.parquet"):
-    return sorted(str(path.relative_to(base)) for path in Path(base).glob(pattern))
+    """Data files; the bounds of the folders are kept apart."""
+    found = (path.relative_to(base) for path in Path(base).glob(pattern))
+    return sorted(str(path) for path in found if path.parts[0] != "_bounds")
+
+
+def spoil(base, pattern):
+    """Makes files unreadable, so that a read that opens one of them fails."""
+    for name in files(base, pattern):
+        path = Path(base) / name
+        path.write_bytes(b"x" * path.stat().st_size)
+        path.with_name(f".{path.name}.crc").unlink(missing_ok=True)
 
 
 def test_round_trip_and_layout(spark, tmp_path):
@@ -94,6 +104,61 @@ def test_rows_that_were_filled_in_later_are_found(spark, tmp_path, written):
     assert read_lake(spark, base, "metrics", until=DAY, written_until=written - dt.timedelta(days=1)).count() == 0
 
 
+def test_reads_by_time_open_what_may_hold_it(spark, tmp_path):
+    """Both ends of a range leave folders out, and rows that were filled in later are found all the same."""
+    base, day = str(tmp_path), lambda n: dt.date(2026, 4, n)
+    for n in range(20, 28):
+        write_lake(metrics(spark, ("i", "a", 1.0, f"2026-04-{n} 10:00:00"), ("j", "a", 1.0, f"2026-04-{n} 11:00:00")), base, "metrics", date=day(n))
+    write_lake(metrics(spark, ("j", "late", 1.0, "2026-04-22 12:00:00")), base, "metrics", date=day(27))
+    for n in (20, 21, 24, 25, 26):
+        spoil(base, f"**/date=2026-04-{n}/*.parquet")
+    got = read_lake(spark, base, "metrics", since=day(22), until=day(23))
+    assert sorted((r.instance_id, r.metric_name, r.timestamp[8:10]) for r in got.collect()) == [
+        ("i", "a", "22"), ("i", "a", "23"), ("j", "a", "22"), ("j", "a", "23"), ("j", "late", "22")]
+    plan = spark._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "formatted")
+    folders = re.search(r"PartitionFilters: (.*)", plan)[1]
+    assert ">= 2026-04-22" in folders and all(f"2026-04-{n}" in folders for n in (24, 25, 26)) and "2026-04-27" not in folders
+    spoil(base, "**/instance_id=j/**/*.parquet")
+    spoil(base, "**/instance_id=i/date=2026-04-27/*.parquet")
+    assert read_lake(spark, base, "metrics", instance="i", since=day(22), until=day(23)).count() == 2
+
+
+def test_a_write_under_way_hides_nothing(spark, tmp_path, monkeypatch):
+    from fleetgauge.sources import bounds
+    base, row = str(tmp_path), lambda n: metrics(spark, ("i", "a", 1.0, f"2026-04-{n} 10:00:00"))
+    write_lake(row(25), base, "metrics", date=dt.date(2026, 4, 25))
+    read = lambda: read_lake(spark, base, "metrics", until="2026-04-24").count()
+    note = bounds.note
+    monkeypatch.setattr(bounds, "note", lambda *a: None)  # the writer dies before it notes what it wrote
+    write_lake(row(20), base, "metrics", date=dt.date(2026, 4, 25))
+    assert read() == 1
+    write_lake(row(21), base, "metrics", date=F.to_date(F.lit("2026-04-25")))
+    assert read() == 2
+    monkeypatch.setattr(bounds, "note", note)
+    bounds.fold(spark, base, "metrics")
+    assert read() == 2 and bounds.unfinished(bounds.known(spark, base, "metrics")).count() == 2
+    write_lake(row(22), base, "metrics", date=F.to_date(F.lit("2026-04-26")))
+    write_lake(metrics(spark), base, "metrics", date=dt.date(2026, 4, 28))
+    bounds.fold(spark, base, "metrics")
+    assert read() == 3 and bounds.known(spark, base, "metrics").filter("done").count() == 2
+
+
+def test_newest_rows_open_one_folder_per_instance(spark, tmp_path):
+    base, day = str(tmp_path), lambda n: dt.date(2026, 4, n)
+    for n in (20, 21, 22):
+        write_lake(metrics(spark, ("i", "a", 1.0, f"2026-04-{n} 10:00:00"), ("i", "a", 2.0, f"2026-04-{n} 09:00:00"), *(
+            [("gone", "a", 1.0, f"2026-04-{n} 08:00:00")] if n < 22 else [])), base, "metrics", date=day(n))
+    write_lake(metrics(spark, ("i", "old", 1.0, "2026-04-19 10:00:00")), base, "metrics", date=day(25))
+    spoil(base, "**/date=2026-04-20/*.parquet"), spoil(base, "**/date=2026-04-25/*.parquet"), spoil(base, "**/instance_id=i/date=2026-04-21/*.parquet")
+    got = latest_in_lake(spark, base, "metrics")
+    assert sorted((r.instance_id, r.timestamp) for r in got.collect()) == [("gone", "2026-04-21 08:00:00"), ("i", "2026-04-22 10:00:00")]
+    other = str(tmp_path / "plain")  # a lake that something else wrote has no bounds
+    metrics(spark, ("i", "a", 1.0, "2026-04-20 10:00:00"), ("i", "a", 1.0, "2026-04-21 10:00:00")).withColumn("date", F.lit(DAY)).write.partitionBy(
+        "instance_id", "date").parquet(f"{other}/metrics")
+    assert [r.timestamp for r in latest_in_lake(spark, other, "metrics").collect()] == ["2026-04-21 10:00:00"]
+    assert read_lake(spark, other, "metrics", until="2026-04-20").count() == 1
+
+
 def test_rows_per_file_and_compaction(spark, tmp_path):
     base = str(tmp_path)
     rows = spark.range(250).select(F.lit("i").alias("instance_id"), F.lit("c").alias("cluster_id"), F.lit("a").alias("metric_name"),
@@ -143,6 +208,31 @@ def test_append_during_compaction_survives(spark, tmp_path, monkeypatch):
     assert read_lake(spark, base, "metrics").count() == 3
 
 
+def test_append_while_folders_are_replaced_is_told(spark, tmp_path, monkeypatch):
+    """An append after the last look at the folders would be replaced silently; the error names it."""
+    from fleetgauge.sinks import lake
+    base, row = str(tmp_path), ("i", "a", 1.0, "2026-04-24 10:00:00")
+    for _ in range(2):
+        write_lake(metrics(spark, row), base, "metrics", date=DAY)
+    frames = type(spark.range(1))
+    plain, files = lake.sized, frames.inputFiles
+
+    def listed(frame):
+        found = files(frame)
+        monkeypatch.setattr(frames, "inputFiles", files)
+        write_lake(metrics(spark, row), base, "metrics", date=DAY)  # the listing does not hold its file any more
+        return found
+
+    def staging(rows):
+        monkeypatch.setattr(lake, "sized", plain)
+        monkeypatch.setattr(frames, "inputFiles", listed)
+        return plain(rows)
+
+    monkeypatch.setattr(lake, "sized", staging)
+    with pytest.raises(RuntimeError, match="repeat these writes"):
+        compact_lake(spark, base, "metrics")
+
+
 def test_views(spark, tmp_path):
     for dataset, schema in DATASETS.items():
         write_lake(spark.createDataFrame([tuple("x" if f.dataType.typeName() == "string" else None for f in schema)], schema),
