@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import drop_index_ddl
@@ -21,11 +20,8 @@ def duplicate_indexes(
     reported in favour of one that is not. Identical indexes report each other;
     with `keep_one` the first of them by name is left out.
 
-    No index is compared with the others of its table: every index states its
-    own prefixes, at most one per column, and an index is covered by whoever
-    states its full column list. Per list only the two best candidates matter,
-    the second one for the case that the first is the index itself, and Spark
-    cuts to two per task before the shuffle.
+    The indexes of a table, at most 65 by the server, come together in one row. That takes no shuffle after
+    `index_catalog`, which deals its rows out by table.
     """
     table = [*keys, "table_schema", "table_name"]
     folded = F.transform("columns", lambda name: F.lower(name))
@@ -37,33 +33,27 @@ def duplicate_indexes(
     unnamed = F.array_position(F.transform("_folded", lambda name: name.isNull()), F.lit(True)).cast("int")
     whole = ~F.exists("_folded", lambda name: name.isNull())
     known = known.withColumn("_usable", F.when(whole, F.col("_width")).otherwise(unnamed - 1)).filter("_usable > 0")
-
-    match = [*table, "_list", "_unique"]
-
-    stated = known.withColumn("_length", F.explode(F.sequence(F.lit(1), F.col("_usable"))))
-    for_unique = F.when((F.col("_width") > F.col("_length")) | F.col("is_unique"), F.array(F.lit(False), F.lit(True)))
-    offers = stated.select(
-        *table, F.slice("_folded", F.lit(1), F.col("_length")).alias("_list"),
-        F.explode(F.coalesce(for_unique, F.array(F.lit(False)))).alias("_unique"),
-        F.col("_width"), F.col("index_name").alias("_name"), F.col("is_unique").alias("_offered_unique"),
-    )
-    best = W.partitionBy(*match).orderBy("_width", "_name")
-    two = offers.withColumn("_rank", F.row_number().over(best)).filter("_rank <= 2")
-    candidate = F.struct("_width", "_name", "_offered_unique")
-    cover = two.groupBy(*match).agg(F.min(candidate).alias("_first"), F.max(candidate).alias("_second"))
-
-    reported = known.filter((F.upper("index_name") != "PRIMARY") & (F.col("_usable") == F.col("_width")))
-    own = reported.withColumns({"_list": F.col("_folded"), "_unique": F.col("is_unique")}).drop("_folded", "_width", "_usable")
-    is_self = F.col("_first._name") == F.col("index_name")
-    found = own.join(cover, match).withColumn("_cover", F.when(is_self, F.col("_second")).otherwise(F.col("_first")))
-    found = found.filter(F.col("_cover._name") != F.col("index_name"))
+    together = known.groupBy(*table).agg(F.array_sort(F.collect_list(
+        F.struct("_width", "index_name", "is_unique", "_usable", "_folded", "columns"))).alias("_all"))
+
+    def covers(other: Column, index: Column) -> Column:
+        fits = (other["_usable"] >= index["_width"]) & (F.slice(other["_folded"], F.lit(1), index["_width"]) == index["_folded"])
+        weaker = (other["_width"] == index["_width"]) & index["is_unique"] & ~other["is_unique"]
+        return (other["index_name"] != index["index_name"]) & fits & ~weaker
+
+    # Candidates stand in their order, so the first that covers is the one to report.
+    pairs = F.transform("_all", lambda index: F.struct(
+        index["index_name"].alias("index_name"), index["columns"].alias("columns"), index["is_unique"].alias("is_unique"),
+        (index["_usable"] == index["_width"]).alias("_whole"), F.get(F.filter("_all", lambda other: covers(other, index)), F.lit(0)).alias("_cover")))
+    found = together.select(*table, F.inline(pairs)).filter(
+        (F.upper("index_name") != "PRIMARY") & F.col("_whole") & F.col("_cover").isNotNull())
     if keep_one:
-        twin = ((F.col("_cover._width") == F.size("columns")) & (F.col("_cover._offered_unique") == F.col("is_unique"))
-                & (F.col("index_name") < F.col("_cover._name")))
+        twin = ((F.col("_cover._width") == F.size("columns")) & (F.col("_cover.is_unique") == F.col("is_unique"))
+                & (F.col("index_name") < F.col("_cover.index_name")))
         found = found.filter(~twin)
     return found.select(
         *keys, F.col("table_schema").alias("database"), F.col("table_name").alias("table"),
-        F.col("index_name").alias("duplicate_index"), F.col("_cover._name").alias("overlaps_with"), "columns",
+        F.col("index_name").alias("duplicate_index"), F.col("_cover.index_name").alias("overlaps_with"), "columns",
         drop_index_ddl(F.col("table_schema"), F.col("table_name"), F.col("index_name")).alias("drop_statement"),
         "is_unique",
     )

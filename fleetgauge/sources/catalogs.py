@@ -26,13 +26,16 @@ def index_catalog(raw: DataFrame, keys: Sequence[str] = INSTANCE) -> DataFrame:
     """One row per index with its ordered columns, uniqueness and type.
 
     Uniqueness and type are those of the first part. A functional part has no
-    column name and stays in the list as NULL.
+    column name and stays in the list as NULL. Rows are dealt out by table, so
+    what is gathered per table later needs no shuffle of its own.
     """
     has_type = "index_type" in raw.columns
     kind = F.col("index_type") if has_type else F.lit(None).cast("string")
     parts = _in_order("seq_in_index", "column_name", (F.col("non_unique") != 0).alias("non_unique"),
                       kind.alias("index_type"))
-    grouped = raw.filter(is_user_schema(F.col("table_schema"))).groupBy(
+    needed = raw.filter(is_user_schema(F.col("table_schema"))).select(
+        *keys, "table_schema", "table_name", "index_name", "seq_in_index", "column_name", "non_unique", *["index_type"] * has_type)
+    grouped = needed.repartition(*keys, "table_schema", "table_name").groupBy(
         *keys, "table_schema", "table_name", "index_name").agg(parts.alias("_parts"))
     return grouped.select(
         *keys, "table_schema", "table_name", "index_name",

@@ -87,7 +87,12 @@ def test_statement_and_system_schemas(spark):
 def test_no_pairs_in_the_plan(spark):
     frame = duplicate_indexes(index_catalog(spark.createDataFrame([], STATISTICS)))
     plan = frame._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+    assert plan.count("Exchange hashpartitioning") == 1 and not any(bad in plan for bad in ("Join", "Cartesian", "NestedLoop"))
+
+
+def test_documents_take_one_shuffle_per_catalog(spark):
+    plan = documents(spark, [column("a", 1)], [("i", "app", "t", "z", ["a"], False)])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") + plan.count("Exchange SinglePartition") <= 3
 
 
 TABLES = ("instance_id string, table_schema string, table_name string, table_type string, table_rows long, data_length long, "
