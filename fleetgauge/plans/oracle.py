@@ -34,12 +34,12 @@ _RAW_DIGESTS = """SELECT 'inst-' || (l_suppkey % 4) AS instance_id, 'cl-' || (l_
     strftime(min(l_shipdate), '%Y-%m-%d %H:%M:%S') AS first_seen, strftime(max(l_shipdate), '%Y-%m-%d %H:%M:%S') AS last_seen
     FROM lineitem GROUP BY ALL"""
 
-# More than 10,000 index findings of one instance take several envelopes.
+# Index findings take an envelope per table.
 _PAYLOADS = """
     SELECT instance_id, 'pt-variable-advisor' AS tool, 1 AS n, count(f.rule_id) AS found
     FROM servers LEFT JOIN findings f USING (instance_id) GROUP BY ALL
     UNION ALL
-    SELECT instance_id, 'pt-duplicate-key-checker', greatest(1, CAST(ceil(count(duplicate_index) / 10000) AS BIGINT)),
+    SELECT instance_id, 'pt-duplicate-key-checker', greatest(1, count(DISTINCT (database, "table")) FILTER (duplicate_index IS NOT NULL)),
            count(duplicate_index)
     FROM servers LEFT JOIN duplicates USING (instance_id) GROUP BY ALL
     UNION ALL SELECT instance_id, 'pt-mysql-summary', 1, 0 FROM servers
@@ -152,6 +152,17 @@ ORACLE: dict[str, str] = {
         SELECT p.instance_id, s.cluster_id, tool, 'fleetgauge-1.0' AS tool_version, '2024-01-01 00:00:00' AS collected_at,
                n, found AS n_findings, true AS one_run, true AS v4
         FROM payloads p JOIN servers s USING (instance_id)""", base_tables=_BASE_TABLES, payloads=_PAYLOADS),
+    "envelope_payloads": over_views("""
+        SELECT instance_id, 'pt-duplicate-key-checker' AS tool, '{"findings":' || coalesce(CAST(to_json(list({
+                   'database': database, 'table': "table", 'duplicate_index': duplicate_index, 'overlaps_with': overlaps_with,
+                   'columns': string_split(columns, ','), 'drop_statement': drop_statement}
+                   ORDER BY len(string_split(columns, ',')), duplicate_index) FILTER (duplicate_index IS NOT NULL)) AS VARCHAR), 'null') || '}' AS json_payload
+        FROM servers LEFT JOIN duplicates USING (instance_id) GROUP BY instance_id, database, "table"
+        """),
+    "run_all": _findings("""
+        SELECT p.instance_id, tool, n, CAST(NULL AS VARCHAR) AS error FROM payloads p JOIN servers s USING (instance_id)
+        WHERE tool <> 'pt-mysql-summary'
+        UNION ALL SELECT NULL, 'summaries', 0, 'the server has gone away'""", base_tables=_BASE_TABLES, payloads=_PAYLOADS),
     "topic_routing": """
         SELECT CAST(event_id AS VARCHAR) AS run_id, coalesce(tool, event_type) AS tool, coalesce(topic, '') AS topic
         FROM events LEFT JOIN (VALUES ('view', 'pt-variable-advisor', 'scout.pt-variable-advisor'),
@@ -272,6 +283,9 @@ ORACLE: dict[str, str] = {
     "counter_delta_fleet": over_views(f"""
         SELECT instance_id, schema_name, digest, {_DELTA} FROM query_digests WHERE timestamp >= '{SNAPSHOT}'
         GROUP BY ALL HAVING new_execs > 0"""),
+    "counter_delta_daily": over_views(f"""
+        SELECT instance_id, schema_name, digest, {_DELTA} FROM query_digests WHERE timestamp >= '{SNAPSHOT}'
+        GROUP BY ALL HAVING new_execs > 0"""),
     "counter_increase": over_views(f"""
         SELECT instance_id, schema_name, digest, timestamp,
                CASE WHEN n >= before THEN n - before WHEN before IS NOT NULL THEN n END AS exec_count_increase

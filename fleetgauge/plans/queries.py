@@ -276,6 +276,28 @@ def envelopes(t: Telemetry) -> DataFrame:
         F.bool_and(F.col("run_id").rlike("^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$")).alias("v4"))
 
 
+@query
+def envelope_payloads(t: Telemetry) -> DataFrame:
+    """The texts of the index findings, one message per table."""
+    instances = t.servers().select("instance_id", "cluster_id")
+    made = sinks.envelopes(instances, sinks.payloads(instances, duplicates=_duplicates(t)), CYCLE_TIME, seed="a seed")
+    return made.select("instance_id", "tool", "json_payload")
+
+
+@query
+def run_all(t: Telemetry) -> DataFrame:
+    """Four tools of which one fails while it runs: messages per instance and tool, and the failure."""
+    instances = t.servers().select("instance_id", "cluster_id")
+    messages, failures = sinks.run_tools(instances, {
+        "findings": lambda: op.check_variables(t.global_variables()), "duplicates": lambda: _duplicates(t),
+        "summaries": lambda: _summary(t).withColumn("version", F.raise_error(F.lit("the server has gone away"))),
+        "schemas": lambda: _documents(t).join(instances, "instance_id").drop("cluster_id")}, CYCLE_TIME, seed="a seed")
+    sent = messages.groupBy("instance_id", "tool").agg(F.count("*").alias("n"), F.lit(None).cast("string").alias("error"))
+    reason = F.regexp_extract("error", "the server has gone away", 0)
+    return sent.unionByName(failures.select(F.lit(None).cast("string").alias("instance_id"), F.col("name").alias("tool"),
+                                            F.lit(0).cast("bigint").alias("n"), reason.alias("error")))
+
+
 @query
 def topic_routing(t: Telemetry) -> DataFrame:
     """Messages written to a folder per topic and read from there; events stand for messages, some of unknown tools."""
@@ -520,6 +542,15 @@ def counter_delta_fleet(t: Telemetry) -> DataFrame:
     return op.counter_delta_fleet(t.query_digests(), SNAPSHOT)
 
 
+@query
+def counter_delta_daily(t: Telemetry) -> DataFrame:
+    """Growth from per-day bounds that were added to twice, the second time with rows of the same days."""
+    path, rows = run_dir(t.spark, "daily-bounds"), t.query_digests()
+    for late in (False, True):
+        op.add_daily_bounds(rows.filter((F.crc32("digest") % 3 == 0) == late), path)
+    return op.counter_delta_daily(op.read_daily_bounds(t.spark, path), SNAPSHOT)
+
+
 @query
 def counter_increase(t: Telemetry) -> DataFrame:
     """Reset-aware steps (an addition), over counters that begin again in the middle."""

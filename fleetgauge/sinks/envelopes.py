@@ -3,18 +3,17 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.advisor import severity_rank
-from ..operators.skew import with_group
+from ..operators.isolation import isolated
 
 KEEP_NULLS = {"ignoreNullFields": "false"}
 TOOL_VERSION = "fleetgauge-1.0"
-FINDINGS_PER_ENVELOPE = 10_000
 
 # Tool names and the topics their messages go to.
 TOPICS = {
@@ -45,18 +44,12 @@ def _run_id(seed: str, *parts: Column) -> Column:
         F.concat(variant, F.substring(digits, 18, 3)), F.substring(digits, 21, 12))
 
 
-def _pieces(findings: DataFrame, row_id: Column, per_envelope: int) -> DataFrame:
-    """Numbers the envelopes of instances with more findings than one may hold."""
-    pieces = F.ceil(F.count("*") / per_envelope).cast("int")
-    return with_group(findings, ["instance_id"], row_id, _pieces=pieces).withColumn("_piece", F.pmod(F.xxhash64(row_id), F.col("_pieces")))
-
-
 def _finding_payloads(
-    instances: DataFrame, numbered: DataFrame, fields: Sequence[str], order: Sequence[Column]
+    instances: DataFrame, findings: DataFrame, fields: Sequence[str], order: Sequence[Column], grain: Sequence[str] = ()
 ) -> DataFrame:
-    """(instance_id, json_payload): `{"findings": [...]}` per instance and piece, null where there are none."""
+    """(instance_id, json_payload): `{"findings": [...]}` per instance and grain, null where an instance has none."""
     entry = F.struct(F.struct(*order).alias("order"), F.struct(*fields).alias("finding"))
-    lists = numbered.groupBy("instance_id", "_piece").agg(F.sort_array(F.collect_list(entry)).alias("_list"))
+    lists = findings.groupBy("instance_id", *grain).agg(F.sort_array(F.collect_list(entry)).alias("_list"))
     lists = lists.select("instance_id", F.col("_list.finding").alias("findings"))
     every = instances.select("instance_id").join(lists, "instance_id", "left")
     return every.select("instance_id", F.to_json(F.struct("findings"), KEEP_NULLS).alias("json_payload"))
@@ -64,25 +57,22 @@ def _finding_payloads(
 
 def payloads(
     instances: DataFrame, *, findings: DataFrame | None = None, duplicates: DataFrame | None = None,
-    summaries: DataFrame | None = None, schemas: DataFrame | None = None, per_envelope: int = FINDINGS_PER_ENVELOPE,
+    summaries: DataFrame | None = None, schemas: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Tool -> (instance_id, json_payload) for every result that is there; a failed tool is left out.
 
-    Rule findings are at most one per rule. Index findings have no such bound:
-    more than `per_envelope` of one instance are cut into several envelopes, so
-    that no row has to hold all of a very large server.
+    Rule findings are at most one per rule and make one payload per instance. Index findings have no such bound: they make
+    one payload per table that has some, as schemas make one per table, and one with null for an instance without any.
     """
     made = {}
     if findings is not None:
         fields = ("rule_id", "category", "severity", "variable", "current_value", "description")
         order = [severity_rank(F.col("severity")).alias("rank"), F.col("ordinal")]
-        made["pt-variable-advisor"] = _finding_payloads(
-            instances, findings.withColumn("_piece", F.lit(0)), fields, order)
+        made["pt-variable-advisor"] = _finding_payloads(instances, findings, fields, order)
     if duplicates is not None:
         fields = ("database", "table", "duplicate_index", "overlaps_with", "columns", "drop_statement")
-        order = [F.col("database"), F.col("table"), F.size("columns").alias("width"), F.col("duplicate_index")]
-        numbered = _pieces(duplicates, F.struct("database", "table", "duplicate_index"), per_envelope)
-        made["pt-duplicate-key-checker"] = _finding_payloads(instances, numbered, fields, order)
+        order = [F.size("columns").alias("width"), F.col("duplicate_index")]
+        made["pt-duplicate-key-checker"] = _finding_payloads(instances, duplicates, fields, order, ("database", "table"))
     for tool, rows in (("pt-mysql-summary", summaries), ("table-schema", schemas)):
         if rows is not None:
             body = F.struct(*(name for name in rows.columns if name != "instance_id"))
@@ -90,6 +80,19 @@ def payloads(
     return made
 
 
+def run_tools(
+    instances: DataFrame, tools: Mapping[str, Callable[[], DataFrame]], collected_at: str, *,
+    tool_version: str = TOOL_VERSION, seed: str | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """The envelopes of all tools that succeed, and (name, error) of those that fail; if all fail, ValueError.
+
+    `tools` has what `payloads` takes under its names (findings, duplicates, summaries, schemas), as functions that make the
+    frames. Each is computed by itself, so that one that fails while it runs does not take the others along.
+    """
+    done, failures = isolated(instances.sparkSession, tools)
+    return envelopes(instances, payloads(instances, **done), collected_at, tool_version=tool_version, seed=seed), failures
+
+
 def union_envelopes(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
@@ -101,7 +104,7 @@ def envelopes(
     """All payloads as envelopes; `instances` has (instance_id, cluster_id).
 
     Envelopes of one instance and tool share a run id: the tables of a schema
-    run, and the pieces of a long list. `seed` is drawn once per run.
+    run or of an index check. `seed` is drawn once per run.
     """
     if not made:
         raise ValueError("all analysis tools failed")

@@ -5,36 +5,27 @@ The JDBC driver is not part of Spark; `read_jdbc` needs it on the class path.
 
 from __future__ import annotations
 
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# The server tables behind the raw frames. Column lists and
-# filters are pushed down by Spark from the transforms that use a frame.
-CATALOG_TABLES = {
-    "global_variables": "performance_schema.global_variables",
-    "global_status": "performance_schema.global_status",
-    "statement_digests": "performance_schema.events_statements_summary_by_digest",
-    "index_io": "performance_schema.table_io_waits_summary_by_index_usage",
-    "statement_events": "performance_schema.events_statements_history_long",
-    "wait_events": "performance_schema.events_waits_history_long",
-    "processlist": "information_schema.PROCESSLIST",
-    "innodb_metrics": "information_schema.INNODB_METRICS",
-    "tables": "information_schema.TABLES",
-    "columns": "information_schema.COLUMNS",
-    "statistics": "information_schema.STATISTICS",
-    "engines": "information_schema.ENGINES",
-    "replica_hosts": "information_schema.replica_host_status",
-}
-
-
-def jdbc_options(host: str, port: int, user: str, password: str, catalog: str) -> dict[str, str]:
-    """Options for one catalog table of one server: 5 s to connect, 30 s to read."""
+from .fleet import CATALOGS
+
+# The server tables behind the raw frames.
+CATALOG_TABLES = {name: catalog.table for name, catalog in CATALOGS.items() if catalog.table}
+
+
+def jdbc_options(host: str, port: int, user: str, password: str, catalog: str, above: int | None = None) -> dict[str, str]:
+    """Options to read one catalog of one server: 5 s to connect, 30 s to read.
+
+    The server filters, sorts and cuts: the statement has the catalog's columns, its top 100 or its ids `above` a mark.
+    """
+    if CATALOGS[catalog].statement:
+        raise ValueError(f"{catalog} is no query; read it with read_fleet")
     return {
         "url": f"jdbc:mysql://{host}:{port}/?connectTimeout=5000&socketTimeout=30000",
         "user": user,
         "password": password,
-        "dbtable": CATALOG_TABLES[catalog],
+        "query": CATALOGS[catalog].sql(above),
         "driver": "com.mysql.cj.jdbc.Driver",
     }
 

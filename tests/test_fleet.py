@@ -4,12 +4,15 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from fleetgauge import (
-    all_failing_spans, counter_delta, counter_delta_fleet, counter_increase, digest_top, engines, fleet_summary,
-    global_status_metrics, health_streaks, host_identity, index_usage, innodb_metrics, jdbc_options, latest_per_instance,
-    latest_snapshot, metric_like, poll_metrics, poll_outcome, processlist_metrics, replica_status, schema_sizes,
+    Server, add_daily_bounds, all_failing_spans, answered, counter_delta, counter_delta_daily, counter_delta_fleet, counter_increase,
+    digest_top, engines, failed, fleet_summary,
+    fold_daily_bounds, global_status_metrics, health_streaks, host_identity, index_usage, innodb_metrics, jdbc_options, latest_per_instance,
+    latest_snapshot, metric_like, poll_metrics, poll_outcome, processlist_metrics, read_daily_bounds, read_fleet,
+    replica_status, run_dir, schema_sizes,
     status_stats, topology, topology_diff, union_instances, write_heavy_indexes,
 )
 from fleetgauge.sources.landed import tagged
@@ -206,4 +209,65 @@ def test_reading_a_fleet(spark):
         ("i1", "c", "t", "x", 1), ("i2", "c", "t", "y", None)]
     options = jdbc_options("db.example.net", 3306, "reader", "secret", "innodb_metrics")
     assert options["url"] == "jdbc:mysql://db.example.net:3306/?connectTimeout=5000&socketTimeout=30000"
-    assert options["dbtable"] == "information_schema.INNODB_METRICS"
+    assert options["query"] == "SELECT name, count, status FROM information_schema.innodb_metrics WHERE status = 'enabled'" and "dbtable" not in options
+    digests = jdbc_options("h", 1, "u", "p", "statement_digests")["query"]
+    assert digests.endswith("WHERE digest IS NOT NULL AND count_star > 0 ORDER BY sum_timer_wait DESC, schema_name, digest LIMIT 100")
+    assert jdbc_options("h", 1, "u", "p", "wait_events", above=7)["query"].endswith("events_waits_history_long WHERE event_id > 7")
+    with pytest.raises(ValueError):
+        jdbc_options("h", 1, "u", "p", "replica_status")
+
+
+def test_reading_many_servers_at_once(spark):
+    """A driver that answers in this process stands for the servers'; one is down, one breaks off half way."""
+    def connect(host, port):
+        class Connection:
+            def cursor(self):
+                return self
+
+            def execute(self, statement):
+                if host == "down":
+                    raise OSError("no route to host")
+                self.statement, self.sent = statement, 0
+                names = ("Slave_IO_Running", "Seconds_Behind_Master") if statement.startswith("SHOW") else ("variable_name", "variable_value")
+                self.description = [(name, None) for name in names]
+
+            def fetchmany(self, n):
+                self.sent += 1
+                if self.sent == 2 and host == "broken":
+                    raise OSError("gone away")
+                return [] if self.sent > 1 else [("Yes", 3)] if self.statement.startswith("SHOW") else [("hostname", host.encode()), ("port", port)]
+
+            def close(self):
+                pass
+        return Connection()
+
+    servers = [Server("i1", "c", "one"), Server("i2", "c", "two", 3307), Server("i3", "d", "down"), Server("i4", "d", "broken")]
+    rows = read_fleet(spark, servers, "identity", connect, "2026-04-24 10:00:00")
+    assert rows.rdd.getNumPartitions() == 4
+    assert sorted(tuple(r) for r in answered(rows).select("instance_id", "variable_name", "variable_value").collect()) == [
+        ("i1", "hostname", "one"), ("i1", "port", "3306"), ("i2", "hostname", "two"), ("i2", "port", "3307")]
+    assert {(r.instance_id, r.error) for r in failed(rows).collect()} == {("i3", "OSError: no route to host"), ("i4", "OSError: gone away")}
+    status = read_fleet(spark, servers[:2], "replica_status", connect, "2026-04-24 10:00:00", servers_per_task=2)
+    assert status.rdd.getNumPartitions() == 1
+    states = replica_status(spark.createDataFrame([("i1",), ("i3",)], "instance_id string"), answered(status)).collect()
+    assert {(r.instance_id, r.is_replica, r.slave_io_running, r.seconds_behind_master) for r in states} == {("i1", True, "Yes", 3), ("i3", False, "", None)}
+
+
+def test_growth_from_daily_bounds(spark):
+    draw = random.Random(8)
+    rows = [(f"i{draw.randrange(2)}", "s", f"d{draw.randrange(4)}", draw.randrange(100), draw.randrange(10**13),
+             f"2026-0{m}-{d:02d} {h:02d}:00:00") for m in (3, 4) for d in range(1, 29, 3) for h in (0, 7, 23)]
+    frame = spark.createDataFrame(rows, "instance_id string, schema_name string, digest string, exec_count long, sum_timer_wait long, timestamp string")
+    path, folded = run_dir(spark, "bounds"), run_dir(spark, "folded")
+    add_daily_bounds(frame.filter("digest != 'd1'"), path), add_daily_bounds(frame, path)  # some rows twice
+    fold_daily_bounds(spark, path, folded)
+    for since in ("2026-03-10", "2026-04-04 00:00:00", "2026-03-31 00:00:00", "2026-04-07 05:00:00"):
+        want = Counter(counter_delta_fleet(frame, since).collect())
+        for place in (path, folded):
+            bounds = read_daily_bounds(spark, place)
+            assert Counter(counter_delta_daily(bounds, since, frame).collect()) == want
+    assert read_daily_bounds(spark, folded).count() < read_daily_bounds(spark, path).count()
+    with pytest.raises(ValueError):
+        counter_delta_daily(read_daily_bounds(spark, path), "2026-04-07 05:00:00")
+    plan = counter_delta_daily(read_daily_bounds(spark, path), "2026-04-04 00:00:00")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(month" in plan and plan.count("FileScan") == 1

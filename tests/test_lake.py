@@ -12,8 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetgauge import (
-    compact_lake, envelopes, latest_in_lake, object_store_settings, payloads, read_lake, register_views, shared_dir, topic_of, write_envelopes,
-    write_lake, write_report,
+    compact_lake, envelopes, isolated, latest_in_lake, object_store_settings, payloads, read_lake, register_views, run_tools, shared_dir,
+    topic_of, write_envelopes, write_lake, write_report,
 )
 from fleetgauge.schemas import DATASETS, METRICS
 
@@ -263,10 +263,10 @@ def messages(spark):
     instances = spark.createDataFrame([("a", "c1"), ("b", "c2")], "instance_id string, cluster_id string")
     findings = spark.createDataFrame([("a", 5, "r5", "x", "note", "v", "", "d"), ("a", 9, "r9", "x", "critical", "v", "<1>", "d"),
                                       ("a", 2, "r2", "x", "note", "v", "1", "d")], FINDINGS)
-    duplicates = spark.createDataFrame([("b", "s", f"t{n}", "k", "l", ["x"], "drop", False) for n in range(25)], DUPLICATES)
+    duplicates = spark.createDataFrame([("b", "s", f"t{n}", f"k{k}", "l", ["x"], "drop", False) for n in range(25) for k in (2, 1)], DUPLICATES)
     schemas = spark.createDataFrame([("a", "s", "t", None), ("a", "s", "u", None)],
                                     "instance_id string, schema_name string, table_name string, columns array<string>")
-    made = payloads(instances, findings=findings, duplicates=duplicates, schemas=schemas, per_envelope=10)
+    made = payloads(instances, findings=findings, duplicates=duplicates, schemas=schemas)
     return lambda seed="x": envelopes(instances, made, "2026-04-24 10:00:00", seed=seed)
 
 
@@ -282,8 +282,8 @@ def test_envelopes(messages):
     assert by_tool["pt-variable-advisor", "b"][0].json_payload == '{"findings":null}'
     assert by_tool["pt-duplicate-key-checker", "a"][0].json_payload == '{"findings":null}'
     pieces = by_tool["pt-duplicate-key-checker", "b"]
-    tables = [f["table"] for r in pieces for f in json.loads(r.json_payload)["findings"]]
-    assert len(pieces) in (2, 3) and sorted(tables) == sorted(f"t{n}" for n in range(25))
+    tables = [[(f["table"], f["duplicate_index"]) for f in json.loads(r.json_payload)["findings"]] for r in pieces]
+    assert sorted(tables) == sorted([(f"t{n}", "k1"), (f"t{n}", "k2")] for n in range(25))
     schemas = by_tool["table-schema", "a"]
     assert len(schemas) == 2 and all(json.loads(r.json_payload)["columns"] is None for r in schemas)
     assert all(len({r.run_id for r in group}) == 1 for group in by_tool.values())
@@ -300,6 +300,23 @@ def test_all_tools_failed(spark):
         envelopes(spark.createDataFrame([("a", "c")], "instance_id string, cluster_id string"), {}, "t")
 
 
+def test_tools_that_fail_leave_the_others(spark):
+    instances = spark.createDataFrame([("a", "c")], "instance_id string, cluster_id string")
+    schemas = spark.createDataFrame([("a", "s", "t")], "instance_id string, schema_name string, table_name string")
+
+    def gone():
+        raise OSError("no route")
+    tools = {"schemas": lambda: schemas, "summaries": lambda: schemas.withColumn("table_name", F.raise_error(F.lit("gone away"))), "duplicates": gone}
+    rows, failures = run_tools(instances, tools, "t", seed="x")
+    assert [r.tool for r in rows.collect()] == ["table-schema"]
+    errors = {r.name: r.error for r in failures.collect()}
+    assert set(errors) == {"summaries", "duplicates"} and errors["duplicates"] == "OSError: no route" and "gone away" in errors["summaries"]
+    with pytest.raises(ValueError, match="no route"):
+        run_tools(instances, {"duplicates": gone}, "t")
+    done, failures = isolated(spark, {})
+    assert done == {} and failures.count() == 0
+
+
 def test_topics(spark, messages, tmp_path):
     tools = ["pt-variable-advisor", "pt-duplicate-key-checker", "pt-mysql-summary", "table-schema", "schema-drift", "unknown", "", None]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(tools)], "i int, tool string")
