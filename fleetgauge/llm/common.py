@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 from collections.abc import Callable, Hashable, Iterator
 from typing import Any
@@ -73,6 +74,34 @@ def forget(frame: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def let_go_of_shuffles(spark: SparkSession) -> None:
+    """Has Spark delete the shuffle files of plans that nothing refers to any more, which it does as the driver collects garbage.
+
+    Behind a staged frame no lineage is left, so files of the shuffles before it would lie on the executors' disks until
+    the driver's memory happens to fill.
+    """
+    gc.collect()
+    spark._jvm.java.lang.System.gc()
+
+
+def _empty() -> None:
+    _kept.clear()
+    gc.collect()
+
+
+def let_go_of_caches(spark: SparkSession) -> None:
+    """Empties what the executors' Python workers keep (see `kept`), for stages after this one that run without them.
+
+    A round of small tasks, several for each core; idle workers take tasks in turn.
+    """
+    def empty(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _empty()
+        yield from batches
+
+    slots = max(1, spark.sparkContext.defaultParallelism)
+    spark.range(0, 4 * slots, 1, 4 * slots).mapInArrow(empty, "id long").write.format("noop").mode("overwrite").save()
+
+
 def held_out(doc_id: Column) -> Column:
     """The fold that nothing may be learned from: a third of the ids, by their checksum (a null id counts as '')."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 3 == 1

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, forget, kept, staged, utf8, words
+from .common import chunks, forget, kept, let_go_of_shuffles, staged, utf8, words
 from .components import components
 
 SHINGLE = 5
@@ -35,6 +35,8 @@ BUCKET = 4096
 LARGEST_SMALL = 64
 #: Rounds in which every set is compared with one hub; they save comparisons and decide nothing.
 ROUNDS = 1
+#: Bytes of a shingle's hash in the sets that are compared. Two of a thousand shingles share one by chance once in 10^8 pairs.
+HELD = 6
 #: Bits of the filter that texts pass before they are read as sets again. Fixed: 2 MB, whatever the number of documents.
 FILTER_BITS = 1 << 24
 
@@ -259,6 +261,19 @@ def _met(rows: DataFrame) -> DataFrame:
         (F.col("i") < 0) | (F.col("k") + _rest(F.col("n"), F.col("m")) >= _needed(F.col("n"), F.col("m"))))
 
 
+def _packed(shingles: np.ndarray) -> bytes:
+    """The low bytes of the hashes."""
+    return np.ascontiguousarray(shingles.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HELD]).tobytes()
+
+
+def _unpacked(held: pa.Scalar) -> np.ndarray:
+    """Sorted hashes as numbers."""
+    bytes_ = np.frombuffer(held.as_buffer(), np.uint8).reshape(-1, HELD)
+    wide = np.zeros((len(bytes_), 8), np.uint8)
+    wide[:, :HELD] = bytes_
+    return np.sort(wide.view("<u8").ravel())
+
+
 def whole_sets(ids: DataFrame, documents: DataFrame, rows: DataFrame, key: str, text: str) -> DataFrame:
     """Staged (id, shingles) of the given sets, read from the texts again."""
     wanted = staged(ids.join(rows.groupBy("id").agg(F.min("row_key").alias("row_key")), "id"), "wanted-sets")
@@ -275,11 +290,14 @@ def whole_sets(ids: DataFrame, documents: DataFrame, rows: DataFrame, key: str,
             chosen = batch.filter(pa.array((keep[at >> 3] >> (at & 7) & 1).astype(bool)))
             for part in chunks(iter([chosen]), "text"):
                 sets = shingle_sets(part.column("text").to_pylist(), known)
-                yield pa.RecordBatch.from_arrays([part.column("row_key"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["row_key", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column("row_key"), pa.array(map(_packed, sets), pa.binary())], names=["row_key", "shingles"])
 
     texts = documents.select(F.xxhash64(F.col(key), F.col(text)).alias("row_key"), utf8(text).alias("text"))
     found = texts.mapInArrow(read, "row_key long, shingles binary").join(wanted, "row_key")
-    return staged(found.groupBy("id").agg(F.first("shingles").alias("shingles")), "sets")
+    # A set has one row_key; where that row is there several times, its copies lie in one partition already.
+    sets = staged(found.groupBy("row_key", "id").agg(F.first("shingles").alias("shingles")).select("id", "shingles"), "sets")
+    forget(wanted)
+    return sets
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -288,7 +306,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for batch in batches:
             links = []
             for a, b in zip(batch.column("left"), batch.column("right")):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (a, b))
+                x, y = _unpacked(a), _unpacked(b)
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
                 both = int((y[at] == x).sum())
                 links.append(100 * both >= PERCENT * (len(x) + len(y) - both))
@@ -356,21 +374,32 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     # Mean length of the list that an occurrence of a shingle is in, as far as it is known.
     mean_list = 1 + float((counts.astype(float) ** 2).sum()) / total
     buckets = staged(shared_keys(state_keys(documents, text, frequent, counts, _boundary(mean_list))), "buckets")
+    let_go_of_shuffles(documents.sparkSession)
     sets = whole_sets(buckets.select("id").distinct(), documents, rows, key, text)
+    let_go_of_shuffles(documents.sparkSession)
     # How much of a set's prefix is shared: a text and its edited copies share most where nothing was edited.
     share = buckets.groupBy("id").agg((F.count("*") / F.first("n")).alias("share"))
-    mixed, links = labelled(staged(buckets.join(share, "id"), "scored-buckets"), None), None
+    scored = staged(buckets.join(share, "id"), "scored-buckets")
+    mixed, links = labelled(scored, None), None
+    forget(buckets)
+    forget(scored)
     for turn in range(ROUNDS):
         pairs = staged(hub_pairs(mixed, F.col("share") if not turn else F.xxhash64("id", F.lit(turn))), "hub-pairs")
         if pairs.isEmpty():
             break
         found = verified(pairs, sets)
+        forget(pairs)
+        let_go_of_shuffles(documents.sparkSession)
         links = found if links is None else links.union(found)
         before, mixed = mixed, labelled(mixed.drop("label"), links)
         forget(before)
-    more = verified(staged(cross_pairs(mixed), "cross-pairs"), sets)
+    crossed = staged(cross_pairs(mixed), "cross-pairs")
+    forget(mixed)
+    more = verified(crossed, sets)
+    forget(crossed)
     joined = staged(components(more if links is None else links.union(more)), "components")
     forget(sets)
+    let_go_of_shuffles(documents.sparkSession)
 
     ids = rows.filter("id IS NOT NULL").groupBy("id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("least"))
     named = ids.join(joined, F.col("id") == F.col("node"), "left").select("id", "least", F.coalesce("component", "id").alias("label"))
