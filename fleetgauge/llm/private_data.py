@@ -111,9 +111,6 @@ def count_of(spans: Column, kind: str) -> Column:
 _EDGES = r"^[^\p{L}\p{N}+(]+|[^\p{L}\p{N})]+$"
 #: Between these marks stand a seed's kind and its value, in which a space is the last of them.
 _SEED, _END, _GAP = "\x01", "\x02", "\x03"
-#: Supported patterns up to which they are sent to all executors; more are joined as Spark sees fit.
-SENT = 50_000
-
 
 def marked(text: Column, spans: Column) -> Column:
     """The text with each seed between marks and without space, so that it lies in one word; of overlapping ones the first."""
@@ -158,16 +155,103 @@ def instances(texts: DataFrame) -> DataFrame:
     return plain.unionByName(seeds)
 
 
-def edges_of(texts: DataFrame, support: int = SUPPORT) -> DataFrame:
-    """The distinct (pattern, value, kind) of seeds, of words with a digit, and of every word at a pattern with enough seeds."""
-    each = lambda rows: instances(rows).select(F.explode("patterns").alias("pattern"), "value", "kind")
-    with_seeds = texts.filter(F.col("marked").contains(_SEED))
-    supported = staged(each(with_seeds).filter("kind IS NOT NULL").groupBy("pattern").agg(F.count_distinct("value").alias("n")).filter(
-        F.col("n") >= support).select("pattern", F.lit(True).alias("supported")), "supported")
-    if supported.limit(SENT + 1).count() <= SENT:
-        supported = F.broadcast(supported)
-    kept = F.col("supported") | F.col("kind").isNotNull() | F.col("value").rlike("[0-9]")
-    return each(texts).join(supported, "pattern", "left").filter(kept).select("pattern", "value", "kind").distinct()
+#: What lies between two words without their edges: closing characters, space, opening characters. Repeats are possessive
+#: and closing characters are tried from their first one only, so cutting is linear.
+_CLOSING, _SPACE, _OPENING = r"[^\p{L}\p{N})\x20\x09-\x0D]", r"[\x20\x09\x0B-\x0D]", r"[^\p{L}\p{N}+(\x20\x09-\x0D]"
+_BETWEEN = f"(?:(?<!{_CLOSING}){_CLOSING}++)?{_SPACE}++{_OPENING}*+"
+_ENDS = f"^{_OPENING}++|(?<!{_CLOSING}){_CLOSING}++$"
+#: Bits that tell which patterns are asked for: a fixed 128 KB, whatever their number. False alarms only cost time.
+_BITS = 20
+#: A pattern is left out if its values, estimated, are so many times what it could be trusted with.
+SLACK = 4
+
+
+def _pattern(kind: int, *words: Column) -> Column:
+    return F.xxhash64(F.lit(kind), *words)
+
+
+def _bit_table(patterns: DataFrame) -> Column:
+    """The bits of a column of pattern hashes, as a literal array of 64-bit words."""
+    place = F.shiftrightunsigned("pattern", 64 - _BITS)
+    rows = patterns.groupBy(F.shiftright(place, 6).cast("int").alias("word")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(pattern, {64 - _BITS}) % 64 AS INT))")).alias("bits")).collect()
+    table = [0] * (1 << _BITS - 6)  # at most so many rows
+    for row in rows:
+        table[row["word"]] = row["bits"]
+    return F.from_json(F.lit("[" + ",".join(map(str, table)) + "]"), "array<bigint>")
+
+
+def _in(table: Column, pattern: Column) -> Column:
+    place = F.shiftrightunsigned(pattern, 64 - _BITS)
+    return F.getbit(F.get(table, F.shiftright(place, 6).cast("int")), (place % 64).cast("int")) == 1
+
+
+def standing(texts: DataFrame, supported: Column, asked: Column) -> DataFrame:
+    """value and patterns of words in texts without seeds: words with a digit, with all their patterns, and words at a pattern
+    that is asked for, with those. Words are chosen within the text's arrays; others make no rows.
+
+    A seed that stands at a longer pattern stands at its one-word pattern too. So a word can only be at a pattern that seeds
+    support if the word before it is, which is looked up first.
+    """
+    line = lambda x: F.struct(F.split(F.regexp_replace(F.trim(x, F.lit(" \t\x0b\x0c\r")), _ENDS, ""), _BETWEEN).alias("w"), x.rlike("[0-9]").alias("digit"))
+    # The mark of cut texts is no letter, so it is an edge like any other.
+    cut = texts.filter(~F.col("marked").contains(_SEED)).select(F.transform(F.split(F.lower("marked"), "\n"), line).alias("lines"))
+
+    def chosen(row: Column) -> Column:
+        w = row["w"]
+        one, two, three = (lambda i: _pattern(1, F.get(w, i - 1))), (lambda i: _pattern(2, F.get(w, i - 2), F.get(w, i - 1))), (
+            lambda i: _pattern(3, F.get(w, i - 1), F.get(w, i + 1)))
+        digit = lambda i: row["digit"] & F.get(w, i).rlike("[0-9]")
+        at = lambda i: _in(supported, one(i)) & (_in(asked, one(i)) | ((i > 1) & _in(asked, two(i))) | ((i + 1 < F.size(w)) & _in(asked, three(i))))
+        places = F.filter(F.sequence(F.lit(1), F.size(w) - 1), lambda i: (digit(i) | at(i)) & (F.get(w, i) != ""))
+        return F.when(F.size(w) > 1, F.transform(places, lambda i: F.struct(
+            F.get(w, i).alias("value"), digit(i).alias("digit"), one(i).alias("one"), F.when(i > 1, two(i)).alias("two"),
+            F.when(i + 1 < F.size(w), three(i)).alias("three")))).otherwise(F.array().cast(
+                "array<struct<value:string,digit:boolean,one:bigint,two:bigint,three:bigint>>"))
+
+    rows = cut.select(F.explode(F.flatten(F.transform("lines", chosen))).alias("w")).select("w.*")
+    each = rows.select("value", "digit", F.explode(F.array("one", "two", "three")).alias("pattern")).filter("pattern IS NOT NULL")
+    return each.filter(F.col("digit") | _in(asked, F.col("pattern"))).select("pattern", "value")
+
+
+def supported_patterns(texts: DataFrame, support: int = SUPPORT) -> tuple[DataFrame, DataFrame]:
+    """Staged (pattern, value, kind) of all words in texts with seeds, and (pattern, n) with enough different seeds."""
+    near = staged(instances(texts.filter(F.col("marked").contains(_SEED))).select(
+        F.explode("patterns").alias("pattern"), "value", "kind").distinct(), "seed-texts")
+    return near, staged(near.filter("kind IS NOT NULL").groupBy("pattern").agg(F.count_distinct("value").alias("n")).filter(
+        F.col("n") >= support), "supported")
+
+
+def sizes_of(texts: DataFrame, near: DataFrame, supported: DataFrame) -> DataFrame:
+    """Supported patterns with about how many values stand at them; counted in sketches, so no pair of them travels."""
+    table = _bit_table(supported)
+    every = standing(texts, table, table).unionByName(near.select("pattern", "value"))
+    return staged(every.groupBy("pattern").agg(F.approx_count_distinct("value").alias("values")).join(supported, "pattern"), "pattern-sizes")
+
+
+def edges_of(texts: DataFrame, near: DataFrame, sizes: DataFrame, learned: int = 0, confidence: float = CONFIDENCE) -> DataFrame:
+    """The distinct (pattern, value, kind) that trust can come from: seeds, words with a digit, and every word at a supported
+    pattern that could be trusted if `learned` values were added to its seeds.
+
+    A pattern is trusted if most of its values are known. Of one with far more values nothing has to be known.
+    """
+    hopeful = sizes.filter(F.col("values") <= SLACK * (F.col("n") + learned) / confidence + 100).select("pattern")
+    plain = standing(texts, _bit_table(sizes), _bit_table(hopeful)).withColumn("kind", F.lit(None).cast("string"))
+    wanted = F.col("asked").isNotNull() | F.col("kind").isNotNull() | F.col("value").rlike("[0-9]")
+    return plain.unionByName(near).distinct().join(hopeful.withColumn("asked", F.lit(True)), "pattern", "left").filter(wanted).select(
+        "pattern", "value", "kind")
+
+
+def bootstrap(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """learn() over edges that hold every pattern which could come to be trusted: more of them as more is learned."""
+    near, supported = supported_patterns(texts)
+    sizes, reach = sizes_of(texts, near, supported), 0
+    while True:
+        learned, trusted = learn(staged(edges_of(texts, near, sizes, reach), "pattern-edges"))
+        found = learned.count()
+        if found <= reach:
+            return learned, trusted
+        reach = 2 * found
 
 
 def learn(edges: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> tuple[DataFrame, DataFrame]:
@@ -225,7 +309,7 @@ def find(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     based = documents.select(*kept, base_spans(F.col(text)).alias("base_spans"))
     sources = documents.select(F.col(text).alias("text")).filter(F.octet_length("text") > 0)
     texts = staged(sources.select(marked(F.col("text"), base_spans(F.col("text"))).alias("marked")), "marked-texts")
-    learned, trusted = learn(staged(edges_of(texts), "pattern-edges"))
+    learned, trusted = bootstrap(texts)
     if learned.isEmpty():
         return based.withColumn("spans", F.col("base_spans"))
     key_of = F.sha2(F.col(text).cast("binary"), 256)

@@ -293,6 +293,20 @@ def test_contexts_find_unseen_identifiers(spark, documents, nothing):
     assert private_data.find(nothing).count() == 0
 
 
+def test_words_chosen_in_arrays_are_those_cut_one_by_one(spark):
+    rng = random.Random(12)
+    parts = ["word", "Two", "x9", "12", "é", "(a)", "+", "-", "...", "a-b", "\"q\"", ",", "(", ")", "(-", "-)", "ß.", "你好,", "\x04", "a..", "--b"]
+    gaps = [" ", " ", " ", "  ", "\t", "\n", "\n \n", "\r\n", " \n", "\x0b"]
+    texts = ["w" + "".join(rng.choice(parts) + rng.choice(gaps) for _ in range(rng.randint(0, 25))) + rng.choice(["", "end.", "."]) for _ in range(400)]
+    texts += ["w " + "-" * 20000 + "x " + "." * 20000 + " y", "w", "w ", "w" + " \n" * 5000 + "x1"]
+    frame = spark.createDataFrame([(t,) for t in texts], "marked string")
+    every = private_data.instances(frame).select(F.explode("patterns").alias("pattern"), "value").distinct()
+    table = private_data._bit_table(every)
+    assert set(map(tuple, private_data.standing(frame, table, table).distinct().collect())) == set(map(tuple, every.collect()))
+    none = private_data._bit_table(every.limit(0))
+    assert set(map(tuple, private_data.standing(frame, none, none).distinct().collect())) == set(map(tuple, every.filter("value RLIKE '[0-9]'").collect()))
+
+
 def test_contexts_of_seeds_without_digits(spark):
     """Addresses without a digit are seeds too; words without a digit are found where their pattern stands, and only there."""
     names = ["".join(p) for p in itertools.product("abcdef", "ghijkl")]
