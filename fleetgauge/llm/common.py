@@ -107,6 +107,26 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 3 == 1
 
 
+def bit_table(hashes: DataFrame, bits: int) -> Column:
+    """A filter for the 64-bit hashes in the only column of a frame, as a literal: a bit is set for the first `bits` bits of each.
+
+    Its size is fixed, whatever the number of hashes; that it lets others pass costs time only.
+    """
+    name, = hashes.columns
+    place = F.shiftrightunsigned(name, 64 - bits)
+    rows = hashes.groupBy(F.shiftright(place, 6).cast("int").alias("word")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(`{name}`, {64 - bits}) % 64 AS INT))")).alias("set")).toArrow()
+    table = [0] * (1 << bits - 6)  # at most so many rows
+    for word, found in zip(rows.column("word").to_pylist(), rows.column("set").to_pylist()):
+        table[word] = found
+    return F.from_json(F.lit("[" + ",".join(map(str, table)) + "]"), "array<bigint>")
+
+
+def in_table(table: Column, value: Column, bits: int) -> Column:
+    place = F.shiftrightunsigned(value, 64 - bits)
+    return F.getbit(F.get(table, F.shiftright(place, 6).cast("int")), (place % 64).cast("int")) == 1
+
+
 def utf8(text: str | Column) -> Column:
     """A text as bytes, null as none."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).cast("binary")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import bit_table, in_table, staged
 
 #: The kinds in the order in which spans with one start are listed.
 BASE = ("email", "ip", "card", "phone")
@@ -171,19 +171,11 @@ def _pattern(kind: int, *words: Column) -> Column:
 
 
 def _bit_table(patterns: DataFrame) -> Column:
-    """The bits of a column of pattern hashes, as a literal array of 64-bit words."""
-    place = F.shiftrightunsigned("pattern", 64 - _BITS)
-    rows = patterns.groupBy(F.shiftright(place, 6).cast("int").alias("word")).agg(
-        F.bit_or(F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(pattern, {64 - _BITS}) % 64 AS INT))")).alias("bits")).collect()
-    table = [0] * (1 << _BITS - 6)  # at most so many rows
-    for row in rows:
-        table[row["word"]] = row["bits"]
-    return F.from_json(F.lit("[" + ",".join(map(str, table)) + "]"), "array<bigint>")
+    return bit_table(patterns.select("pattern"), _BITS)
 
 
 def _in(table: Column, pattern: Column) -> Column:
-    place = F.shiftrightunsigned(pattern, 64 - _BITS)
-    return F.getbit(F.get(table, F.shiftright(place, 6).cast("int")), (place % 64).cast("int")) == 1
+    return in_table(table, pattern, _BITS)
 
 
 def standing(texts: DataFrame, supported: Column, asked: Column) -> DataFrame:
