@@ -206,55 +206,63 @@ def standing(texts: DataFrame, supported: Column, asked: Column) -> DataFrame:
     return each.filter(F.col("digit") | _in(asked, F.col("pattern"))).select("pattern", "value")
 
 
-def supported_patterns(texts: DataFrame, support: int = SUPPORT) -> tuple[DataFrame, DataFrame]:
-    """Staged (pattern, value, kind) of all words in texts with seeds, and (pattern, n) with enough different seeds."""
-    near = staged(instances(texts.filter(F.col("marked").contains(_SEED))).select(
-        F.explode("patterns").alias("pattern"), "value", "kind").distinct(), "seed-texts")
-    return near, staged(near.filter("kind IS NOT NULL").groupBy("pattern").agg(F.count_distinct("value").alias("n")).filter(
-        F.col("n") >= support), "supported")
+def seeds_of(texts: DataFrame) -> DataFrame:
+    """Staged distinct (pattern, value, kind) of the seeds."""
+    return staged(instances(texts.filter(F.col("marked").contains(_SEED))).filter("kind IS NOT NULL").select(
+        F.explode("patterns").alias("pattern"), "value", "kind").distinct(), "seeds")
 
 
-def sizes_of(texts: DataFrame, near: DataFrame, supported: DataFrame) -> DataFrame:
-    """Supported patterns with about how many values stand at them; counted in sketches, so no pair of them travels."""
+def beside_seeds(texts: DataFrame, supported: DataFrame) -> DataFrame:
+    """Staged distinct (pattern, value) of other words in texts with seeds: at supported patterns, and with a digit at any."""
     table = _bit_table(supported)
-    every = standing(texts, table, table).unionByName(near.select("pattern", "value"))
+    rows = instances(texts.filter(F.col("marked").contains(_SEED))).filter("kind IS NULL").select(F.explode("patterns").alias("pattern"), "value")
+    return staged(rows.filter(_in(table, F.col("pattern")) | F.col("value").rlike("[0-9]")).distinct(), "beside-seeds")
+
+
+def sizes_of(texts: DataFrame, seeds: DataFrame, beside: DataFrame, supported: DataFrame) -> DataFrame:
+    """Staged supported patterns with about how many values stand at them; counted in sketches, so no pair of them travels."""
+    table = _bit_table(supported)
+    near = seeds.select("pattern", "value").unionByName(beside)
+    every = standing(texts, table, table).unionByName(near.filter(_in(table, F.col("pattern"))))
     return staged(every.groupBy("pattern").agg(F.approx_count_distinct("value").alias("values")).join(supported, "pattern"), "pattern-sizes")
 
 
-def edges_of(texts: DataFrame, near: DataFrame, sizes: DataFrame, learned: int = 0, confidence: float = CONFIDENCE) -> DataFrame:
-    """The distinct (pattern, value, kind) that trust can come from: seeds, words with a digit, and every word at a supported
-    pattern that could be trusted if `learned` values were added to its seeds.
+def edges_of(texts: DataFrame, seeds: DataFrame, beside: DataFrame, sizes: DataFrame, learned: int = 0, confidence: float = CONFIDENCE) -> DataFrame:
+    """The distinct (pattern, value, kind) that trust can come from: every word at a supported pattern that could be trusted
+    if `learned` values were added to its seeds, and at patterns that no seeds support the seeds and words with a digit.
 
-    A pattern is trusted if most of its values are known. Of one with far more values nothing has to be known.
+    A pattern is trusted if most of its values are known. One with far more values cannot be, so it is left out whole.
     """
-    hopeful = sizes.filter(F.col("values") <= SLACK * (F.col("n") + learned) / confidence + 100).select("pattern")
-    plain = standing(texts, _bit_table(sizes), _bit_table(hopeful)).withColumn("kind", F.lit(None).cast("string"))
-    wanted = F.col("asked").isNotNull() | F.col("kind").isNotNull() | F.col("value").rlike("[0-9]")
-    return plain.unionByName(near).distinct().join(hopeful.withColumn("asked", F.lit(True)), "pattern", "left").filter(wanted).select(
-        "pattern", "value", "kind")
+    rated = sizes.select("pattern", (F.col("values") <= SLACK * (F.col("n") + learned) / confidence + 100).alias("hopeful"))
+    plain = standing(texts, _bit_table(sizes), _bit_table(rated.filter("hopeful"))).unionByName(beside)
+    rows = plain.withColumn("kind", F.lit(None).cast("string")).unionByName(seeds).join(rated, "pattern", "left")
+    return rows.filter(F.coalesce("hopeful", F.col("kind").isNotNull() | F.col("value").rlike("[0-9]"))).select("pattern", "value", "kind").distinct()
 
 
-def bootstrap(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+def bootstrap(texts: DataFrame, support: int = SUPPORT) -> tuple[DataFrame, DataFrame]:
     """learn() over edges that hold every pattern which could come to be trusted: more of them as more is learned."""
-    near, supported = supported_patterns(texts)
-    sizes, reach = sizes_of(texts, near, supported), 0
+    seeds = seeds_of(texts)
+    supported = staged(seeds.groupBy("pattern").agg(F.count_distinct("value").alias("n")).filter(F.col("n") >= support), "supported")
+    beside = beside_seeds(texts, supported)
+    sizes, reach = sizes_of(texts, seeds, beside, supported), 0
     while True:
-        learned, trusted = learn(staged(edges_of(texts, near, sizes, reach), "pattern-edges"))
+        learned, trusted = learn(staged(edges_of(texts, seeds, beside, sizes, reach), "pattern-edges"), seeds.select("value", "kind").distinct())
         found = learned.count()
         if found <= reach:
             return learned, trusted
         reach = 2 * found
 
 
-def learn(edges: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> tuple[DataFrame, DataFrame]:
+def learn(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> tuple[DataFrame, DataFrame]:
     """value, kind and score of identifiers that are no seeds and end above the confidence; pattern, kind and trust.
 
-    `edges` holds the distinct (pattern, value, kind), kind null where the value is no seed. Each round scores patterns by
+    `edges` holds the distinct (pattern, value, kind), kind null where the value is no seed, and `seeds` the distinct (value,
+    kind) of all seeds. Each round scores patterns by
     the share of their values that are known to be of a kind, then values by the patterns they stand at (one minus the
     product of the patterns' doubts). Everything is counted by grouping; no group is gathered.
     """
     spark = edges.sparkSession
-    seeds = edges.filter("kind IS NOT NULL").select("value", "kind").distinct().withColumn("weight", F.lit(1.0))
+    seeds = seeds.withColumn("weight", F.lit(1.0))
     known, learned = seeds, spark.createDataFrame([], "value string, kind string, score double")
     sizes = edges.groupBy("pattern").agg(F.count_distinct("value").alias("values"))
     pairs = edges.select("pattern", "value").distinct()
