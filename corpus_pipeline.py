@@ -4,15 +4,29 @@ masked, and what is left is packed into token sequences."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetgauge.llm import decontamination, jaccard, packing, private_data, toxicity
-from fleetgauge.llm.common import held_out, staged, table
+from fleetgauge.llm.common import held_out, let_go_of_caches, let_go_of_shuffles, staged, table
 from fleetgauge.llm.queries import vocabulary
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+
+def rested(stage: Stage) -> Stage:
+    """The stage, begun after executors let go of what the one before it kept in Python workers and on disk."""
+    @wraps(stage)
+    def run_rested(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        let_go_of_caches(spark)
+        let_go_of_shuffles(spark)
+        return stage(spark, docs, sf_dir)
+    return run_rested
+
+
+@rested
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labelled ones, does not reject."""
     learn = lambda rows: rows.filter(~held_out(F.col("doc_id")))
@@ -20,14 +34,19 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return toxicity.classify(docs, model).filter("toxic_predicted = 0").select(*docs.columns)
 
 
+@rested
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked ones, that with the least id; documents without words stay."""
     return jaccard.deduplicated(docs).select(*docs.columns)
 
 
+@rested
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item, also none with other numbers, names or units in it."""
     return decontamination.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+@rested
 def without_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every span replaced by its kind; n_chars follows the text."""
     # Named first: inside a lambda, `text` would mean the new column of the same projection.
@@ -36,13 +55,15 @@ def without_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return found.withColumns(changed).select(*docs.columns)
 
 
+@rested
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of at most 1024 tokens; a null text is empty."""
     rows = packing.pack(docs, vocabulary("byte_bpe_50k.json"), 0)
     return rows.select("doc_id", "start", "length", packing.ids_crc32(F.col("ids"), F.col("width")).alias("ids_crc32"),
                        "doc_tokens", "sequence_id", "offset")
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
     ("toxicity", without_toxic), ("near_copies", without_near_copies), ("benchmark", without_benchmark),
     ("private_data", without_private_data), ("packing", packed)]
 
