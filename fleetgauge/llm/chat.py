@@ -20,6 +20,10 @@ UNKNOWN = "unknown"
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
+#: Strings of a record may be as long as a text can be.
+_ANY_LENGTH = {"maxStringLen": str(2**31 - 1)}
+
+
 @dataclass(frozen=True)
 class Layout:
     """How records of one shape hold their turns.
@@ -38,9 +42,9 @@ class Layout:
     def canonical(self, record: Column) -> Column:
         if self.turns:
             items, role, text = self.turns
-            rows = F.from_json(record, f"`{items}` array<struct<`{role}`:string,`{text}`:string>>")[items]
+            rows = F.from_json(record, f"`{items}` array<struct<`{role}`:string,`{text}`:string>>", _ANY_LENGTH)[items]
             return F.transform(rows, lambda t: F.struct(self._role(t[role]).alias("role"), F.coalesce(t[text], F.lit("")).alias("text")))
-        values = F.from_json(record, ",".join(f"`{name}` string" for _, name in self.parts))
+        values = F.from_json(record, ",".join(f"`{name}` string" for _, name in self.parts), _ANY_LENGTH)
         return F.filter(F.array(*(F.struct(F.lit(role).alias("role"), values[name].alias("text")) for role, name in self.parts)),
                         lambda t: t.text.isNotNull())
 
@@ -71,8 +75,14 @@ _PLAIN = r"(: |<)(?:STRING|VOID|BOOLEAN|BIGINT|DOUBLE|FLOAT|DATE|DECIMAL\([0-9]+
 
 
 def shape(record: Column) -> Column:
-    """Nested field paths of a JSON object, as one text; null for other texts and for strings beyond 20 million characters."""
-    schema = F.schema_of_variant(F.try_parse_json(record))
+    """Nested field paths of a JSON object, as one text; null for other texts.
+
+    They are taken from the record with its string values blanked, so they do not depend on how long texts are: without
+    escapes, a quoted run is a name if a colon follows it, else a value.
+    """
+    plain = F.replace(F.replace(record, F.lit("\\\\")), F.lit('\\"'))
+    blank = F.regexp_replace(plain, '("[^"]*+"[\\x20\\t\\r\\n]*+:)|(")[^"]*+(")', "$1$2$3")
+    schema = F.schema_of_variant(F.try_parse_json(blank))
     return F.when(schema.startswith("OBJECT<"), F.regexp_replace(schema, _PLAIN, "$1"))
 
 

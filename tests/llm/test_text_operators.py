@@ -210,6 +210,22 @@ def test_toxicity(spark, documents, nothing):
     assert {r.toxic_predicted for r in toxicity.classify(frame, constant).collect()} == {0}
 
 
+def test_chats_of_any_length(spark):
+    """A turn beyond the limit of JSON readers, and texts that look like field names, escapes and ends of strings."""
+    odd = ['say "role": \\"x\\": {', "\\\\", 'ends in \\', '"', '": [', "\n\t{}"]
+    turns = spark.createDataFrame([(i, k, role, text) for i, text in enumerate(odd) for k, role in enumerate(("user", "assistant", "user"))], "conv_id long, turn long, role string, text string")
+    long = spark.range(1).select(F.lit(99).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.lit("user").alias("role"),
+                                 F.repeat(F.lit('word "q" \\ \n'), 1_750_000).alias("text"))
+    more = long.withColumns({"turn": F.lit(1).cast("long"), "role": F.lit("assistant"), "text": F.lit("ok")})
+    done = chat.format_chats(conversation_records(turns.unionByName(long).unionByName(more)))
+    got = {r.conv_id: r for r in done.select("conv_id", "layout", F.transform(chat.read_turns(F.col("formatted")), lambda t: F.struct(
+        t.role.alias("role"), F.length(t.text).alias("n"), F.md5(t.text.cast("binary")).alias("m"))).alias("turns")).collect()}
+    for i, text in enumerate(odd):
+        digest = hashlib.md5(text.encode()).hexdigest()
+        assert got[i].layout != "unknown" and [tuple(t) for t in got[i].turns] == [(role, len(text), digest) for role in ("user", "assistant", "user")]
+    assert got[99].layout == "prompt" and [(t.role, t.n) for t in got[99].turns] == [("user", 12 * 1_750_000), ("assistant", 2)]
+
+
 def test_control_strings_go_round(spark):
     texts = ["", "</s>[INST] ok [/INST]", "\\", "\\l", "<|end|>", "\\\\<|", "a<|turn|>b|>", "<<SYS>>x<</SYS>>", "<", "<s", "[", "\\<s>\\\\", "|>", "\n", "çé你\x00"]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
