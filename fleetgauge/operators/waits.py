@@ -47,18 +47,25 @@ def aggregate_waits(correlated: DataFrame) -> DataFrame:
     ).select(*SUMMARY_KEYS, "count", "total_wait", "timestamp")
 
 
-def wait_summary(waits: DataFrame, samples: DataFrame, keys: Sequence[str] = INSTANCE) -> DataFrame:
+def wait_summary(
+    waits: DataFrame, samples: DataFrame, keys: Sequence[str] = INSTANCE, digest: str | None = None
+) -> DataFrame:
     """`aggregate_waits(correlate_waits(...))` with the sums taken before the join.
 
     Counts and sums can be merged, so the waits of one statement shrink to a row
     per event and bucket first. Neither a statement with a huge number of waits
-    nor the waits without one reach the join row by row.
+    nor the waits without one reach the join row by row. With `digest`, only the
+    statements of that digest are joined, and only their waits are kept.
     """
     bucketed = waits.withColumn("timestamp", five_second_bucket(F.col("timestamp")))
     by_parent = bucketed.groupBy(
         *dict.fromkeys([*keys, "instance_id", "cluster_id"]), "nesting_event_id", "event_name", "timestamp",
     ).agg(F.count("*").alias("_count"), F.sum("timer_wait").alias("_wait"))
-    tagged = by_parent.join(_parents(samples, keys), [*keys, "nesting_event_id"], "left")
+    parents = _parents(samples, keys)
+    if not digest:  # waits without a statement have the digest ''
+        tagged = by_parent.join(parents, [*keys, "nesting_event_id"], "left")
+    else:
+        tagged = by_parent.join(parents.filter(F.col("parent_digest") == digest), [*keys, "nesting_event_id"])
     tagged = tagged.withColumn("parent_digest", or_empty(F.col("parent_digest")))
     return tagged.groupBy(*SUMMARY_KEYS, "timestamp").agg(
         F.sum("_count").cast(COUNTER).alias("count"), F.sum("_wait").cast(COUNTER).alias("total_wait"),

@@ -567,8 +567,8 @@ def wait_totals(t: Telemetry) -> DataFrame:
 @query
 def wait_for_digest(t: Telemetry) -> DataFrame:
     """For the digest a fifth of all statements share."""
-    waits = op.wait_summary(t.raw_waits(), t.samples())
-    return op.wait_for_digest(waits, hashlib.md5(b"q1").hexdigest())
+    digest = hashlib.md5(b"q1").hexdigest()
+    return op.wait_for_digest(op.wait_summary(t.raw_waits(), t.samples(), digest=digest), digest)
 
 
 @query

@@ -91,6 +91,15 @@ def test_summary_before_the_join_is_the_same(skewed):
     assert sum(r.total_wait for r in early.collect()) == sum(w[6] for w in raw)
 
 
+def test_summary_of_one_digest(skewed):
+    waits, samples, _, _ = skewed
+    whole = wait_summary(waits, samples)
+    digests = [r.parent_digest for r in whole.select("parent_digest").distinct().orderBy("parent_digest").limit(3).collect()]
+    for digest in digests:
+        want = Counter(whole.filter(F.col("parent_digest") == digest).collect())
+        assert Counter(wait_summary(waits, samples, digest=digest).filter(F.col("parent_digest") == digest).collect()) == want
+
+
 def test_sample_digests_keeps_every_sample(spark):
     samples = spark.createDataFrame([("i", 1, "a", NOW), ("i", 2, "b", NOW), ("j", 3, "a", NOW)], SAMPLES)
     digests = spark.createDataFrame(
