@@ -47,12 +47,17 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table of the folder. Python workers of a local session get this library's place, wherever they are started."""
+def known_to_workers(spark: SparkSession) -> None:
+    """Gives Python workers of a local session this library's place, wherever they are started."""
     root, places = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     known = places.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
     if root not in known.split(os.pathsep):
         places["PYTHONPATH"] = os.pathsep.join(filter(None, (root, known)))
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of the folder."""
+    known_to_workers(spark)
     small_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -60,6 +65,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def staged(frame: DataFrame, purpose: str) -> DataFrame:
     """The frame written to the shared folder and read again: lineage ends here, lost executors cost nothing."""
     path = run_dir(frame.sparkSession, purpose)
+    known_to_workers(frame.sparkSession)
     small_batches(frame.sparkSession)
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
@@ -98,6 +104,7 @@ def let_go_of_caches(spark: SparkSession) -> None:
         _empty()
         yield from batches
 
+    known_to_workers(spark)
     slots = max(1, spark.sparkContext.defaultParallelism)
     spark.range(0, 4 * slots, 1, 4 * slots).mapInArrow(empty, "id long").write.format("noop").mode("overwrite").save()
 
