@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bit_table, chunks, forget, in_table, kept, let_go_of_shuffles, staged, utf8, words
+from .common import chunks, forget, kept, let_go_of_shuffles, staged, utf8, words
 from .components import components
 
 SHINGLE = 5
@@ -35,12 +35,11 @@ BUCKET = 4096
 LARGEST_SMALL = 64
 #: Rounds in which every set is compared with one hub; they save comparisons and decide nothing.
 ROUNDS = 1
-#: Bytes of a shingle's hash in the sets that are compared. Two of a thousand shingles share one by chance once in 10^8 pairs.
-HELD = 6
+#: Bytes of a shingle's hash in the sets that are compared. Two sets of a thousand shingles share one by chance once in a
+#: million pairs, and only a pair at the very edge of linking is decided by one.
+HELD = 5
 #: Bits of the filter that texts pass before they are read as sets again. Fixed: 2 MB, whatever the number of documents.
 FILTER_BITS = 1 << 24
-#: The filter that sets pass before they are compared has two to the power of this many bits (512 KB).
-PAIRED_BITS = 22
 
 _STEPS = np.random.Generator(np.random.PCG64(5)).integers(1, 2**63, SHINGLE).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -314,10 +313,8 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 links.append(100 * both >= PERCENT * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(links, pa.bool_()))
 
-    # Sets that are in no pair on a side are left out before they travel; hubs are few.
-    paired = lambda side: sets.filter(in_table(bit_table(pairs.select(side), PAIRED_BITS), F.col("id"), PAIRED_BITS))
-    one = paired("a").select(F.col("id").alias("a"), F.col("shingles").alias("left"))
-    two = paired("b").select(F.col("id").alias("b"), F.col("shingles").alias("right"))
+    one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("left"))
+    two = sets.select(F.col("id").alias("b"), F.col("shingles").alias("right"))
     return staged(pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "left", "right").mapInArrow(overlap, "a long, b long"), "links")
 
 
