@@ -178,16 +178,19 @@ def _in(table: Column, pattern: Column) -> Column:
     return in_table(table, pattern, _BITS)
 
 
-def standing(texts: DataFrame, supported: Column, asked: Column) -> DataFrame:
+def standing(texts: DataFrame, supported: Column, asked: Column | None) -> DataFrame:
     """value and patterns of words in texts without seeds: words with a digit, with all their patterns, and words at a pattern
-    that is asked for, with those. Words are chosen within the text's arrays; others make no rows.
+    that is asked for (None: no pattern is), with those. Words are chosen within the text's arrays; others make no rows.
 
     A seed that stands at a longer pattern stands at its one-word pattern too. So a word can only be at a pattern that seeds
     support if the word before it is, which is looked up first.
     """
     line = lambda x: F.struct(F.split(F.regexp_replace(F.trim(x, F.lit(" \t\x0b\x0c\r")), _ENDS, ""), _BETWEEN).alias("w"), x.rlike("[0-9]").alias("digit"))
     # The mark of cut texts is no letter, so it is an edge like any other.
-    cut = texts.filter(~F.col("marked").contains(_SEED)).select(F.transform(F.split(F.lower("marked"), "\n"), line).alias("lines"))
+    chosen_from = texts.filter(~F.col("marked").contains(_SEED))
+    if asked is None:
+        chosen_from = chosen_from.filter(F.col("marked").rlike("[0-9]"))
+    cut = chosen_from.select(F.transform(F.split(F.lower("marked"), "\n"), line).alias("lines"))
 
     def chosen(row: Column) -> Column:
         w = row["w"]
@@ -195,15 +198,17 @@ def standing(texts: DataFrame, supported: Column, asked: Column) -> DataFrame:
             lambda i: _pattern(3, F.get(w, i - 1), F.get(w, i + 1)))
         digit = lambda i: row["digit"] & F.get(w, i).rlike("[0-9]")
         at = lambda i: _in(supported, one(i)) & (_in(asked, one(i)) | ((i > 1) & _in(asked, two(i))) | ((i + 1 < F.size(w)) & _in(asked, three(i))))
-        places = F.filter(F.sequence(F.lit(1), F.size(w) - 1), lambda i: (digit(i) | at(i)) & (F.get(w, i) != ""))
-        return F.when(F.size(w) > 1, F.transform(places, lambda i: F.struct(
+        here = digit if asked is None else lambda i: digit(i) | at(i)
+        places = F.filter(F.sequence(F.lit(1), F.size(w) - 1), lambda i: here(i) & (F.get(w, i) != ""))
+        return F.when((F.size(w) > 1) & (row["digit"] if asked is None else F.lit(True)), F.transform(places, lambda i: F.struct(
             F.get(w, i).alias("value"), digit(i).alias("digit"), one(i).alias("one"), F.when(i > 1, two(i)).alias("two"),
             F.when(i + 1 < F.size(w), three(i)).alias("three")))).otherwise(F.array().cast(
                 "array<struct<value:string,digit:boolean,one:bigint,two:bigint,three:bigint>>"))
 
     rows = cut.select(F.explode(F.flatten(F.transform("lines", chosen))).alias("w")).select("w.*")
     each = rows.select("value", "digit", F.explode(F.array("one", "two", "three")).alias("pattern")).filter("pattern IS NOT NULL")
-    return each.filter(F.col("digit") | _in(asked, F.col("pattern"))).select("pattern", "value")
+    wanted = F.col("digit") if asked is None else F.col("digit") | _in(asked, F.col("pattern"))
+    return each.filter(wanted).select("pattern", "value")
 
 
 def seeds_of(texts: DataFrame) -> DataFrame:
@@ -234,7 +239,8 @@ def edges_of(texts: DataFrame, seeds: DataFrame, beside: DataFrame, sizes: DataF
     A pattern is trusted if most of its values are known. One with far more values cannot be, so it is left out whole.
     """
     rated = sizes.select("pattern", (F.col("values") <= SLACK * (F.col("n") + learned) / confidence + 100).alias("hopeful"))
-    plain = standing(texts, _bit_table(sizes), _bit_table(rated.filter("hopeful"))).unionByName(beside)
+    hopeful = rated.filter("hopeful")
+    plain = standing(texts, _bit_table(sizes), None if hopeful.isEmpty() else _bit_table(hopeful)).unionByName(beside)
     rows = plain.withColumn("kind", F.lit(None).cast("string")).unionByName(seeds).join(rated, "pattern", "left")
     return rows.filter(F.coalesce("hopeful", F.col("kind").isNotNull() | F.col("value").rlike("[0-9]"))).select("pattern", "value", "kind").distinct()
 
