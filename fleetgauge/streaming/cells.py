@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
 CELL = "cell"
+SLICE = "_slice"
+SLICES = 16
 LISTED = T.StructType([T.StructField(CELL, T.StringType()), T.StructField("written", T.LongType())])
 
 
@@ -26,6 +28,15 @@ def cell_of(keys: Sequence[str], parts: int, *periods: Column) -> Column:
     return F.concat_ws("~", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("string"), *periods)
 
 
+def dealt(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows brought together by cell and slice of the keys, both of which the keys decide (with the cell's periods).
+
+    Groups and windows within (CELL, SLICE, *keys) and the files of a cell then need no shuffle of their own, and a cell,
+    however large, is worked on by SLICES tasks.
+    """
+    return rows.withColumn(SLICE, F.pmod(F.hash(*keys), F.lit(SLICES))).repartition(CELL, SLICE)
+
+
 def names(rows: DataFrame) -> list[str]:
     """The cells of rows; there are no more than parts times periods of them."""
     return [row[CELL] for row in rows.select(CELL).distinct().collect()]
@@ -72,11 +83,14 @@ class CellTable:
             return spark.createDataFrame([], whole)
         return spark.read.schema(whole).option("basePath", f"{self.path.rstrip('/')}/rows").parquet(*found).select(*whole.names)
 
-    def replace(self, batch: int, rows: DataFrame, touched: Iterable[str]) -> None:
-        """Makes `rows` (with their cell) what the touched cells hold after this batch; a cell without rows is gone."""
+    def replace(self, batch: int, rows: DataFrame, touched: Iterable[str], in_place: bool = False) -> None:
+        """Makes `rows` (with their cell) what the touched cells hold after this batch; a cell without rows is gone.
+
+        Rows that are `in_place`, since they were `dealt`, are written where they are.
+        """
         spark, root = rows.sparkSession, self.path.rstrip("/")
         touched = list(touched)
-        rows.hint("rebalance", CELL).write.mode("overwrite").partitionBy(CELL).parquet(f"{root}/rows/batch={batch}")
+        (rows if in_place else rows.hint("rebalance", CELL)).write.mode("overwrite").partitionBy(CELL).parquet(f"{root}/rows/batch={batch}")
         earlier = self._batches(spark, batch)
         state = self._state(spark, next(iter(earlier), None))
         held = {c: b for c, b in state.items() if c not in set(touched)} | dict.fromkeys(self._listed(spark, "rows", f"batch={batch}"), batch)

@@ -12,7 +12,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from ..operators.advisor import check_variables
 from ..rules import RULES, Rule
-from .cells import CELL, CellTable, cell_of, names, start
+from .cells import CELL, SLICE, CellTable, cell_of, dealt, names, start
 
 SNAPSHOT = ("instance_id", "event_time")
 
@@ -47,10 +47,12 @@ class StreamedFindings:
         rows = batch.select(*columns).withColumn(CELL, cell_of(["instance_id"], self.parts, hour)).persist()
         touched = names(rows)
         known = self._variables.read(batch.sparkSession, schema, touched, before=number)
-        merged = rows.unionByName(known).groupBy(CELL, *SNAPSHOT, "variable_name").agg(F.max("variable_value").alias("variable_value"))
-        self._variables.replace(number, merged, touched)
-        whole = self._variables.read(batch.sparkSession, schema, touched)
-        self._findings.replace(number, check_variables(whole, self.rules, self.category, keys=(CELL, *SNAPSHOT)), touched)
+        merged = dealt(rows.unionByName(known), SNAPSHOT).groupBy(CELL, SLICE, *SNAPSHOT, "variable_name").agg(
+            F.max("variable_value").alias("variable_value")).drop(SLICE)
+        self._variables.replace(number, merged, touched, in_place=True)
+        whole = dealt(self._variables.read(batch.sparkSession, schema, touched), SNAPSHOT)
+        found = check_variables(whole, self.rules, self.category, keys=(CELL, SLICE, *SNAPSHOT)).drop(SLICE)
+        self._findings.replace(number, found, touched, in_place=True)
         rows.unpersist()
 
     def findings(self, spark: SparkSession, kinds: T.StructType) -> DataFrame:
