@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..operators.deltas import counter_increase
-from .cells import CELL, CellTable, cell_of, names, start
+from .cells import CELL, SLICE, CellTable, cell_of, dealt, names, start
 
 
 @dataclass(frozen=True)
@@ -46,7 +46,6 @@ class CounterSteps:
         value = T.StructType(fields[len(keys):])
         edge = T.StructType([*fields[:len(keys)], T.StructField("_period", T.StringType()),
                              T.StructField("_first", value), T.StructField("_last", value)])
-        said = F.struct("timestamp", *self.counters)
         place = F.translate(F.substring("timestamp", 1, self.period), " :", "T-")
 
         rows = batch.select(*snapshot.names).filter("timestamp IS NOT NULL").groupBy(*keys, "timestamp").agg(
@@ -54,34 +53,34 @@ class CounterSteps:
         fresh = rows.withColumns({"_period": place, CELL: cell_of(keys, self.parts)})
         known = self._edges.read(spark, edge, parts := names(fresh), before=number)
         # Of two snapshots of the same time the one that came later counts: it is later as a last, earlier as a first.
-        ends = fresh.select(*keys, "_period", CELL, F.struct("timestamp", F.lit(0).alias("_age"), *self.counters).alias("_first"),
-                            F.struct("timestamp", F.lit(1).alias("_age"), *self.counters).alias("_last"), F.lit(True).alias("_hit"))
-        old = lambda column, age: F.struct(f"{column}.timestamp", F.lit(age).alias("_age"), *(f"{column}.{c}" for c in self.counters)).alias(column)
-        both = ends.unionByName(known.select(*keys, "_period", CELL, old("_first", 1), old("_last", 0), F.lit(False).alias("_hit")))
+        ends = known.select(CELL, *keys, "_period", F.inline(F.array_distinct(F.array("_first", "_last"))))
+        both = dealt(fresh.withColumn("_new", F.lit(True)).unionByName(ends.withColumn("_new", F.lit(False))), keys)
         plain = lambda column: F.struct(f"{column}.timestamp", *(f"{column}.{c}" for c in self.counters)).alias(column)
-        edges = both.groupBy(CELL, *keys, "_period").agg(
-            F.min("_first").alias("_first"), F.max("_last").alias("_last"), F.max("_hit").alias("_hit"))
-        order = W.partitionBy(CELL, *keys).orderBy("_period")  # a row per period of a key
-        edges = edges.select(CELL, *keys, "_period", plain("_first"), plain("_last"), "_hit").withColumns({
-            "_before": F.lag("_last").over(order), "_redo": F.col("_hit") | F.coalesce(F.lag("_hit").over(order), F.lit(False))}).persist()
-        self._edges.replace(number, edges.select(*edge.names, CELL), parts)
+        edges = both.groupBy(CELL, SLICE, *keys, "_period").agg(
+            F.min(F.struct("timestamp", (~F.col("_new")).alias("_age"), *self.counters)).alias("_first"),
+            F.max(F.struct("timestamp", F.col("_new").alias("_age"), *self.counters)).alias("_last"), F.max("_new").alias("_hit"))
+        order = W.partitionBy(CELL, SLICE, *keys).orderBy("_period")  # a row per period of a key
+        edges = edges.select(CELL, SLICE, *keys, "_period", plain("_first"), plain("_last"), "_hit").withColumns({
+            "_before": F.lag("_last").over(order), "_redo": F.col("_hit") | F.coalesce(F.lag("_hit").over(order), F.lit(False))}).drop(SLICE).persist()
+        self._edges.replace(number, edges.select(*edge.names, CELL), parts, in_place=True)
 
         periods = edges.withColumn(CELL, F.concat_ws("~", CELL, "_period"))
         cells = names(periods.filter("_redo"))
         here = rows.withColumn(CELL, cell_of(keys, self.parts, place))
         there = self._snapshots.read(spark, snapshot, cells, before=number)
-        merged = here.withColumn("_age", F.lit(1)).unionByName(there.withColumn("_age", F.lit(0))).groupBy(CELL, *keys, "timestamp").agg(
-            F.max(F.struct("_age", *self.counters)).alias("_v")).select(CELL, *keys, "timestamp", *(f"_v.{c}" for c in self.counters))
-        chosen = periods.join(periods.filter("_redo").select(CELL).distinct(), CELL, "left_semi")
+        chosen = periods.join(F.broadcast(periods.filter("_redo").select(CELL).distinct()), CELL, "left_semi")
         before = chosen.filter("_before IS NOT NULL").select(CELL, *keys, "_before.*")
-        self._snapshots.replace(number, self._stepped(
-            merged.withColumn("_own", F.lit(True)).unionByName(before.withColumn("_own", F.lit(False)))), cells)
+        aged = lambda table, age, own: table.withColumns({"_age": F.lit(age), "_own": F.lit(own)})
+        merged = dealt(aged(here, 1, True).unionByName(aged(there, 0, True)).unionByName(aged(before, 0, False)), keys).groupBy(
+            CELL, SLICE, *keys, "timestamp", "_own").agg(F.max(F.struct("_age", *self.counters)).alias("_v")).select(
+            CELL, SLICE, *keys, "timestamp", "_own", *(f"_v.{c}" for c in self.counters))
+        self._snapshots.replace(number, self._stepped(merged, SLICE).drop(SLICE), cells, in_place=True)
         rows.unpersist()
         edges.unpersist()
 
-    def _stepped(self, rows: DataFrame) -> DataFrame:
+    def _stepped(self, rows: DataFrame, *within: str) -> DataFrame:
         """Steps within the cells; rows that are not the cell's own are where its first steps begin."""
-        return counter_increase(rows, [CELL, *self.keys], self.counters, carry=["_own", *self.counters]).filter("_own").drop("_own")
+        return counter_increase(rows, [CELL, *within, *self.keys], self.counters, carry=["_own", *self.counters]).filter("_own").drop("_own")
 
     def steps(self, spark: SparkSession, kinds: T.StructType) -> DataFrame:
         """(*keys, timestamp, {counter}_increase) of all snapshots that follow another one, as the batches left them.
