@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import or_empty
+from ..operators.skew import spread_join
 
 STATEMENT_TEXTS = ("digest", "sql_text", "current_schema")
 STATEMENT_COUNTERS = (
@@ -29,14 +30,15 @@ def _filled(rows: DataFrame, texts: tuple[str, ...], counters: tuple[str, ...])
 def _newer(rows: DataFrame, marks: DataFrame | None) -> DataFrame:
     """Rows above the mark of their instance; an instance without a mark starts at 0.
 
-    `marks` has one row per instance. The optimiser broadcasts it when its size
-    allows, and otherwise AQE splits the rows of a hot instance.
+    `marks` has one row per instance. The rows of a hot instance, and those
+    without one, are spread over many tasks.
     """
     if marks is None:
         return rows.filter(F.col("event_id") > 0)
     known = marks.select("instance_id", F.col("high_water_mark").alias("_mark"))
     above = F.col("event_id") > F.coalesce("_mark", F.lit(0))
-    return rows.join(known, "instance_id", "left").filter(above).drop("_mark")
+    joined = spread_join(rows, known, ["instance_id"], F.col("event_id"), unmatched=F.col("instance_id").isNull())
+    return joined.filter(above).select(*rows.columns)
 
 
 def statement_tail(raw: DataFrame, marks: DataFrame | None = None) -> DataFrame:
