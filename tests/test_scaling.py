@@ -1,11 +1,12 @@
 """What must not grow with the tables: rows of a task, and how often rows are shuffled or computed."""
 
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from fleetgauge import run_dir, statement_tail
+from fleetgauge import envelopes, payloads, run_dir, statement_tail
 from fleetgauge.functions import instant
 from fleetgauge.plans import queries, telemetry
 from fleetgauge.streaming import CellTable, CounterSteps, StreamedFindings
@@ -83,3 +84,33 @@ def test_landings_are_computed_once(spark, tmp_path, monkeypatch):
     rows = spark.range(40).select(count.asNondeterministic()("id").alias("id"))
     queries._in_landings(telemetry.Telemetry(spark, ""), "landing", rows, F.col("id") % 4 == 0, begin)
     assert counts == [30, 10] and computed.value == 40
+
+
+def test_tables_are_dealt_out_once_for_columns_and_once_for_indexes(spark, tmp_path):
+    lines = [(1, n, 10 + n, "A", "O") for n in (1, 2)] + [(2, 1, 12, "R", "F")]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_returnflag string, l_linestatus string").write.parquet(
+        f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, 3, "O", 5.0), (2, 4, "O", 6.0)], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double").write.parquet(
+        f"{tmp_path}/orders.parquet")
+    documents = queries._documents(telemetry.Telemetry(spark, str(tmp_path)))
+    plan = documents._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hash", plan)) <= 3  # columns, indexes and, unless it is broadcast, tables
+    assert {r.table_name: (len(r.columns), len(r.indexes)) for r in documents.collect()} == {"t1": (2, 2), "t2": (1, 1)}
+
+
+def test_messages_of_a_large_instance_take_many_tasks(spark):
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        instances = spark.createDataFrame([("hot", "c"), ("hot", "d"), ("small", "c"), (None, "c")], "instance_id string, cluster_id string")
+        rows = spark.range(20_000).select(F.lit("hot").alias("instance_id"), F.concat(F.lit("t"), "id").alias("table_name"))
+        rows = rows.unionByName(spark.createDataFrame([("small", "t"), ("unknown", "t"), (None, "t")], "instance_id string, table_name string"))
+        made = payloads(instances, schemas=rows)
+        plain = envelopes(instances, made, "t", seed="x")
+        spread = envelopes(instances, made, "t", seed="x", hot=spark.createDataFrame([("hot",)], "instance_id string"))
+        assert Counter(spread.collect()) == Counter(plain.collect()) and spread.count() == 40_001
+        assert spread.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 30_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
