@@ -18,6 +18,7 @@ from .common import kept
 #: Entries of a generation of a cache; a worker keeps two generations. This bounds its memory, not its results.
 KEPT = 250_000
 _MARKS = b".,!?;:*#$%&|"
+_SPACES = b" \t\n\r\x0b\x0c"
 # White space beyond ASCII, and separators that only some of the libraries count as such.
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -​    　]")
 _RUNS = (b"\t", b"\r", b"\x0b", b"\x0c", b"\0", b"  ", b"\n\n", b" \n", b"\n ")
@@ -58,7 +59,8 @@ class Encoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.code = "H" if self.width == 2 else "I"
         self.dtype = np.dtype("<u2" if self.width == 2 else "<u4")
-        self.parts, self.stems = Recent(self._part), Recent(self._stem)
+        # Where case is kept, a part without marks is its own stem: one cache has the room of two.
+        self.parts, self.stems = Recent(self._part, KEPT if lower else 2 * KEPT), Recent(self._stem)
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -75,12 +77,16 @@ class Encoder:
     def _part(self, part: bytes) -> bytes:
         if self.lower:
             part = part.lower()
+        elif part[:1] == b"\n" and part[1:].strip(_SPACES) == part[1:] != b"":  # a line end before a word is a token of its own
+            return self.parts[b"\n"] + self.parts[part[1:]]
         stem = part.rstrip(_MARKS)
         text = stem.decode("utf-8", "replace")
         if self.lower and not text.isascii():
             text = self.tokenizer.normalizer.normalize_str(text)
         if len(text) < 200 and text[text[:1] == " ":].isalpha():
-            return self.stems[text] + self.parts[part[len(stem):]] if len(stem) < len(part) else self.stems[text]
+            if len(stem) < len(part):
+                return (self.stems[text] if self.lower else self.parts[stem]) + self.parts[part[len(stem):]]
+            return self.stems[text] if self.lower else self._stem(text)  # where case is kept, a part and its stem are the same
         return self._whole(part.decode("utf-8", "replace"))
 
     def ids(self, text: bytes) -> bytes:
