@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..functions import five_second_bucket, or_empty, utc_text
 from ..schemas import COUNTER
-from .cells import CELL, CellTable, cell_of, names, start
+from .cells import CELL, SLICE, CellTable, cell_of, dealt, names, start
 
 KEYS = ("instance_id", "cluster_id", "parent_digest", "event_name")
 OWN = ("instance_id", "cluster_id", "nesting_event_id", "event_name", "timestamp")
@@ -51,42 +51,46 @@ class WaitSummaries:
 
     def __call__(self, batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        bucket = five_second_bucket(utc_text(F.col("event_time"))).alias("timestamp")
+        # Buckets are numbers until groups are made of them; texts are made once a group.
+        seconds = F.unix_seconds(F.col("event_time").cast("timestamp"))
+        bucket = F.timestamp_seconds(seconds - F.pmod(seconds, F.lit(5))).alias("timestamp")
         waits = batch.filter("_wait").select(
             "instance_id", "cluster_id", F.coalesce("nesting_event_id", F.lit(0)).cast(COUNTER).alias("nesting_event_id"), "event_name", bucket, "timer_wait",
-        ).groupBy(*OWN).agg(F.count("*").cast(COUNTER).alias("count"), F.sum("timer_wait").cast(COUNTER).alias("total_wait"))
-        waits = self._cell(waits).persist()
+        ).groupBy(*OWN).agg(F.count("*").cast(COUNTER).alias("count"), F.sum("timer_wait").cast(COUNTER).alias("total_wait")).withColumn(
+            "timestamp", five_second_bucket(utc_text(F.col("timestamp"))))
         newest = F.max(F.struct(F.col("event_time").alias("seen"), or_empty(F.col("digest")).alias("digest"))).alias("_p")
-        said = self._cell(batch.filter("NOT _wait AND event_id IS NOT NULL").groupBy(
-            "instance_id", F.col("event_id").cast(COUNTER).alias("nesting_event_id")).agg(newest).select(*STATEMENT, "_p.*")).persist()
-        within = waits.filter("nesting_event_id != 0")
-        touched = list({*names(within), *names(said)})
-        sums = self._table("waits").read(spark, SUMMED, touched, before=number)
-        parents = self._table("statements").read(spark, PARENTS, touched, before=number).persist()
-        newer = parents.unionByName(said).groupBy(CELL, *STATEMENT).agg(F.max(F.struct("seen", "digest")).alias("_p")).select(
-            CELL, *STATEMENT, "_p.*").persist()
-
-        same = lambda table, digest: table.select(*(F.col(k).alias(f"_{k}") for k in STATEMENT), F.col("digest").alias(digest))
-        on = F.col("instance_id").eqNullSafe(F.col("_instance_id")) & (F.col("nesting_event_id") == F.col("_nesting_event_id"))
-        tagged = lambda rows, table, digest: rows.join(same(table, digest), on, "left").drop(*(f"_{k}" for k in STATEMENT))
-        came = tagged(within, newer, "_to").unionByName(waits.filter("nesting_event_id = 0").withColumn("_to", F.lit(None).cast("string")))
-        came = came.select(*OWN, or_empty(F.col("_to")).alias("parent_digest"), "count", "total_wait")
+        said = batch.filter("NOT _wait AND event_id IS NOT NULL").groupBy(
+            "instance_id", F.col("event_id").cast(COUNTER).alias("nesting_event_id")).agg(newest).select(*STATEMENT, "_p.*")
+        both = lambda sums, parents: sums.withColumn("_wait", F.lit(True)).unionByName(
+            parents.withColumn("_wait", F.lit(False)), allowMissingColumns=True)
+        fresh = self._cell(both(waits, said)).persist()
+        held = fresh.filter("NOT _wait OR nesting_event_id != 0")
+        touched = names(held)
+        known = both(self._table("waits").read(spark, SUMMED, touched, before=number),
+                     self._table("statements").read(spark, PARENTS, touched, before=number))
+        # Dealt out once: the sums of a statement find its digests, the one before the batch and the one after it, beside them.
+        one = Window.partitionBy(CELL, SLICE, *STATEMENT)
+        newest = lambda of: F.max(F.when(of, F.struct("seen", "digest"))).over(one)
+        rows = dealt(held.withColumn("_new", F.lit(True)).unionByName(known.withColumn("_new", F.lit(False))), STATEMENT).withColumns({
+            "_from": newest(~F.col("_wait") & ~F.col("_new")), "_to": newest(~F.col("_wait"))}).persist()
+
         # Sums that were there before move if the digest of their statement changed.
-        changed = newer.join(same(parents, "_from"), on, "left").withColumn("_from", or_empty(F.col("_from"))).filter("digest != _from").select(
-            *STATEMENT, F.array(F.struct(F.col("_from").alias("parent_digest"), F.lit(-1).alias("sign")),
-                                F.struct(F.col("digest").alias("parent_digest"), F.lit(1).alias("sign"))).alias("_moves"))
-        moved = sums.join(changed.select(*(F.col(k).alias(f"_{k}") for k in STATEMENT), "_moves"), on).select(
-            *OWN, "count", "total_wait", F.inline("_moves")).select(
-            *OWN, "parent_digest", (F.col("count") * F.col("sign")).cast(COUNTER).alias("count"), (F.col("total_wait") * F.col("sign")).cast(COUNTER).alias("total_wait"))
-        moves = came.unionByName(moved).groupBy(*KEYS, "timestamp").agg(
-            F.sum("count").cast(COUNTER).alias("count"), F.sum("total_wait").cast(COUNTER).alias("total_wait"))
+        before, after = or_empty(F.col("_from.digest")), F.col("_to.digest")
+        side = lambda digest, sign: F.struct(digest.alias("parent_digest"), F.lit(sign).alias("sign"))
+        sides = F.when(F.col("_new"), F.array(side(or_empty(after), 1))).when(after != before, F.array(side(before, -1), side(after, 1)))
+        own = ("instance_id", "cluster_id", "event_name", "timestamp", "count", "total_wait")
+        moved = rows.filter("_wait").select(*own, F.inline(sides)).unionByName(
+            fresh.filter("_wait AND nesting_event_id = 0").select(*own, F.lit("").alias("parent_digest"), F.lit(1).alias("sign")))
+        moves = moved.groupBy(*KEYS, "timestamp").agg(*(
+            F.sum((F.col(n) * F.col("sign")).cast(COUNTER)).cast(COUNTER).alias(n) for n in ("count", "total_wait")))
         moves.filter("count != 0 OR total_wait != 0").select(*MOVES.names).write.mode("overwrite").parquet(
             f"{self.path.rstrip('/')}/moves/batch={number}")
-        self._table("waits").replace(number, within.unionByName(sums).groupBy(CELL, *OWN).agg(
-            F.sum("count").cast(COUNTER).alias("count"), F.sum("total_wait").cast(COUNTER).alias("total_wait")), touched)
-        self._table("statements").replace(number, newer, touched)
-        for frame in (waits, said, parents, newer):
-            frame.unpersist()
+        self._table("waits").replace(number, rows.filter("_wait").groupBy(CELL, SLICE, *OWN).agg(
+            F.sum("count").cast(COUNTER).alias("count"), F.sum("total_wait").cast(COUNTER).alias("total_wait")).drop(SLICE), touched, in_place=True)
+        self._table("statements").replace(
+            number, rows.filter("NOT _wait").select(CELL, SLICE, *STATEMENT, "_to.*").distinct().drop(SLICE), touched, in_place=True)
+        rows.unpersist()
+        fresh.unpersist()
 
     def summary(self, spark: SparkSession) -> DataFrame:
         """Wait-event rows as all batches together say."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from fleetgauge import envelopes, payloads, run_dir, statement_tail
 from fleetgauge.functions import instant
 from fleetgauge.plans import queries, telemetry
-from fleetgauge.streaming import CellTable, CounterSteps, StreamedFindings
+from fleetgauge.streaming import CellTable, CounterSteps, StreamedFindings, WaitSummaries
 
 
 def test_customers_in_tasks_of_bounded_size(spark, tmp_path):
@@ -114,3 +114,11 @@ def test_messages_of_a_large_instance_take_many_tasks(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_waits_are_dealt_out_once(spark, shuffles):
+    batch = spark.createDataFrame(
+        [("i", "c", 9, "io", 5, "2026-04-24 10:00:01", True, None, None), ("i", None, None, None, None, "2026-04-24 10:00:02", False, 9, "A")],
+        "instance_id string, cluster_id string, nesting_event_id long, event_name string, timer_wait long, at string, _wait boolean, event_id long, digest string")
+    WaitSummaries(run_dir(spark, "waits"), parts=2)(batch.withColumn("event_time", instant(F.col("at"))), 0)
+    assert shuffles == {"waits": [0], "statements": [0]}  # both are cut from rows that were dealt out before
