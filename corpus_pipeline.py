@@ -17,16 +17,24 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def rested(stage: Stage) -> Stage:
-    """The stage, begun after executors let go of what the one before it kept in Python workers and on disk."""
+    """The stage, begun after executors let go of what the one before it kept on disk."""
     @wraps(stage)
     def run_rested(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        let_go_of_caches(spark)
         let_go_of_shuffles(spark)
         return stage(spark, docs, sf_dir)
     return run_rested
 
 
-@rested
+def rested_workers(stage: Stage) -> Stage:
+    """The same, with what is kept in Python workers; for stages that use these themselves."""
+    @wraps(stage)
+    def run_rested(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        let_go_of_caches(spark)
+        return rested(stage)(spark, docs, sf_dir)
+    return run_rested
+
+
+@rested_workers
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labelled ones, does not reject."""
     learn = lambda rows: rows.filter(~held_out(F.col("doc_id")))
@@ -34,16 +42,21 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return toxicity.classify(docs, model).filter("toxic_predicted = 0").select(*docs.columns)
 
 
-@rested
+@rested_workers
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones, that with the least id; documents without words stay."""
     return jaccard.deduplicated(docs).select(*docs.columns)
 
 
-@rested
+@rested_workers
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item, also none with other numbers, names or units in it."""
-    return decontamination.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+    """Documents that hold no benchmark item, also none with other numbers, names or units in it.
+
+    What is left to do on the frame returned needs no Python, so workers let go here: the next stage runs on DataFrame functions only.
+    """
+    clean = decontamination.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+    let_go_of_caches(spark)
+    return clean
 
 
 @rested
@@ -55,7 +68,7 @@ def without_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return found.withColumns(changed).select(*docs.columns)
 
 
-@rested
+@rested_workers
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 1024 tokens; a null text is empty."""
     rows = packing.pack(docs, vocabulary("byte_bpe_50k.json"), 0)

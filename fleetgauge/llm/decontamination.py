@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, kept, utf8, words
+from .common import chunks, kept, staged, utf8, words
 
 WINDOW = 8
 #: Words of a window that must be literal to be searched for as a template: placeholders alone say nothing.
@@ -292,6 +292,6 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def decontaminated(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents that hold no item, with all their columns."""
-    found = contaminated(documents, benchmark, key, text, **options).select(F.col("row_key").alias("_found")).distinct()
+    """The documents that hold no item, with all their columns; the search has run when this returns."""
+    found = staged(contaminated(documents, benchmark, key, text, **options).select(F.col("row_key").alias("_found")).distinct(), "contaminated")
     return documents.join(found, F.xxhash64(F.col(key), F.col(text)) == F.col("_found"), "left_anti")
