@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, forget, kept, let_go_of_shuffles, staged, utf8, words
+from .common import chunks, forget, let_go_of_shuffles, staged, utf8
 from .components import components
 
 SHINGLE = 5
@@ -40,33 +40,45 @@ ROUNDS = 1
 HELD = 5
 #: Bits of the filter that texts pass before they are read as sets again. Fixed: 2 MB, whatever the number of documents.
 FILTER_BITS = 1 << 24
+#: Bytes of words that are hashed together with others, eight at a time; longer ones are hashed one by one.
+LONG = 64
 
+_SPACE = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _STEPS = np.random.Generator(np.random.PCG64(5)).integers(1, 2**63, SHINGLE).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-class _Hashes(dict):
-    KEPT = 200_000
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= self.KEPT:
-            self.clear()
-        found = self[word] = xxhash.xxh64_intdigest(word)
-        return found
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_sets(texts: list[bytes], known: _Hashes) -> list[np.ndarray]:
+def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text begin, and their 64-bit hashes."""
+    import xxhash
+
+    data = np.frombuffer(b" " + text + b" " * 8, np.uint8)
+    space = _SPACE[data]
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    eights = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))  # the eight bytes from each place on
+    hashes = _mix(sizes.astype(np.uint64) * _STEPS[1])
+    at, done = np.flatnonzero(sizes <= LONG), 0
+    while len(at):
+        left = sizes[at] - done
+        hashes[at] = _mix((hashes[at] ^ (eights[starts[at] + done] & _MASKS[np.minimum(left, 8)])) + _STEPS[0])
+        at, done = at[left > 8], done + 8
+    for i in np.flatnonzero(sizes > LONG).tolist():
+        hashes[i] = xxhash.xxh64_intdigest(data[starts[i]:starts[i] + sizes[i]])
+    return starts - 1, hashes
+
+
+def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of the shingles of each text; a shorter text is one shingle, one without words none."""
-    found = [words(t.lower()) for t in texts]
-    sizes = np.fromiter(map(len, found), np.int64, len(found))
-    flat = np.fromiter((known[w] for ws in found for w in ws), np.uint64, int(sizes.sum()))
+    starts, flat = word_hashes(b" ".join(texts).lower())
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    sizes = np.diff(np.searchsorted(starts, ends), prepend=0)
     rolled = np.zeros(max(0, len(flat) - SHINGLE + 1), np.uint64)
     for k in range(SHINGLE):
         rolled += flat[k:k + len(rolled)] * _STEPS[k]
@@ -74,7 +86,8 @@ def shingle_sets(texts: list[bytes], known: _Hashes) -> list[np.ndarray]:
     sets, start = [], 0
     for n in sizes.tolist():
         if n >= SHINGLE:
-            sets.append(np.unique(rolled[start:start + n - SHINGLE + 1]))
+            ordered = np.sort(rolled[start:start + n - SHINGLE + 1])
+            sets.append(ordered[np.append(True, ordered[1:] != ordered[:-1])])
         elif n:
             sets.append(_mix((flat[start:start + n] * _STEPS[:n]).sum(keepdims=True) + np.uint64(n)))
         else:
@@ -122,7 +135,7 @@ def read_sets(documents: DataFrame, key: str, text: str) -> tuple[DataFrame, Dat
     kinds = "doc_id long, row_key long, id long, n long, shingle long, count long"
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen, held, size = kept("word hashes", _Hashes), set(), [], 0
+        seen, held, size = set(), [], 0
 
         def repeated(parts):
             values, counts = np.unique(np.concatenate(parts), return_counts=True)
@@ -132,7 +145,7 @@ def read_sets(documents: DataFrame, key: str, text: str) -> tuple[DataFrame, Dat
 
         names = ["doc_id", "row_key", "id", "n", "shingle", "count"]
         for batch in chunks(batches, "text"):
-            sets = shingle_sets(batch.column("text").to_pylist(), known)
+            sets = shingle_sets(batch.column("text").to_pylist())
             ids = [set_id(s) if len(s) else None for s in sets]
             for i, s in zip(ids, sets):
                 if len(s) and i not in seen:  # copies say nothing about a shingle's frequency
@@ -163,10 +176,10 @@ def state_keys(documents: DataFrame, text: str, frequent: np.ndarray, counts: np
     shared = spark.sparkContext.broadcast((frequent, counts))  # at most FREQUENT entries
 
     def state(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (frequent, counts), known, seen = shared.value, kept("word hashes", _Hashes), set()
+        (frequent, counts), seen = shared.value, set()
         for batch in chunks(batches, "text"):
             keys, times, ids, sizes, places = [], [], [], [], []
-            for s in shingle_sets(batch.column("text").to_pylist(), known):
+            for s in shingle_sets(batch.column("text").to_pylist()):
                 n = len(s)
                 if n < 3:  # such a set links to equal ones only
                     continue
@@ -285,12 +298,12 @@ def whole_sets(ids: DataFrame, documents: DataFrame, rows: DataFrame, key: str,
     shared = documents.sparkSession.sparkContext.broadcast(keep)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep, known = shared.value, kept("word hashes", _Hashes)
+        keep = shared.value
         for batch in batches:
             at = (batch.column("row_key").to_numpy().view(np.uint64) >> np.uint64(40)).astype(np.int64)
             chosen = batch.filter(pa.array((keep[at >> 3] >> (at & 7) & 1).astype(bool)))
             for part in chunks(iter([chosen]), "text"):
-                sets = shingle_sets(part.column("text").to_pylist(), known)
+                sets = shingle_sets(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("row_key"), pa.array(map(_packed, sets), pa.binary())], names=["row_key", "shingles"])
 
     texts = documents.select(F.xxhash64(F.col(key), F.col(text)).alias("row_key"), utf8(text).alias("text"))
