@@ -158,8 +158,10 @@ def instances(texts: DataFrame) -> DataFrame:
 #: What lies between two words without their edges: closing characters, space, opening characters. Repeats are possessive
 #: and closing characters are tried from their first one only, so cutting is linear.
 _CLOSING, _SPACE, _OPENING = r"[^\p{L}\p{N})\x20\x09-\x0D]", r"[\x20\x09\x0B-\x0D]", r"[^\p{L}\p{N}+(\x20\x09-\x0D]"
-_BETWEEN = f"(?:(?<!{_CLOSING}){_CLOSING}++)?{_SPACE}++{_OPENING}*+"
-_ENDS = f"^{_OPENING}++|(?<!{_CLOSING}){_CLOSING}++$"
+_CLOSED = f"(?={_CLOSING})(?<!{_CLOSING}){_CLOSING}++"  # looks ahead first, which is cheaper
+_BETWEEN = f"(?:{_CLOSED})?{_SPACE}++{_OPENING}*+"
+#: What a line begins and ends with besides words, with the space outside it.
+_ENDS = f"(?dm)^(?:{_SPACE}++{_OPENING}*+|{_OPENING}++)|{_CLOSED}{_SPACE}*+$|{_SPACE}++$"
 #: Bits that tell which patterns are asked for: a fixed 128 KB, whatever their number. False alarms only cost time.
 _BITS = 20
 #: A pattern is left out if its values, estimated, are so many times what it could be trusted with.
@@ -178,19 +180,30 @@ def _in(table: Column, pattern: Column) -> Column:
     return in_table(table, pattern, _BITS)
 
 
+def cut_lines(texts: DataFrame) -> DataFrame:
+    """`words` of the texts without seeds: in lower case, without their edges, a mark between two.
+
+    Whole texts are cut at once, so an expression is compiled once and not for every line.
+    """
+    # The mark of cut texts is no letter, so it is an edge like any other.
+    plain = texts.filter(~F.col("marked").contains(_SEED))
+    bare = F.regexp_replace(F.regexp_replace(F.lower("marked"), _ENDS, ""), _BETWEEN, _SEED)
+    return plain.select(bare.alias("words"))
+
+
 def standing(texts: DataFrame, supported: Column, asked: Column | None) -> DataFrame:
-    """value and patterns of words in texts without seeds: words with a digit, with all their patterns, and words at a pattern
-    that is asked for (None: no pattern is), with those. Words are chosen within the text's arrays; others make no rows.
+    """value and patterns of words in texts without seeds, which may be cut already (cut_lines): words with a digit, with all their
+    patterns, and words at a pattern that is asked for (None: no pattern is), with those. Words are chosen within the text's arrays;
+    others make no rows.
 
     A seed that stands at a longer pattern stands at its one-word pattern too. So a word can only be at a pattern that seeds
     support if the word before it is, which is looked up first.
     """
-    line = lambda x: F.struct(F.split(F.regexp_replace(F.trim(x, F.lit(" \t\x0b\x0c\r")), _ENDS, ""), _BETWEEN).alias("w"), x.rlike("[0-9]").alias("digit"))
-    # The mark of cut texts is no letter, so it is an edge like any other.
-    chosen_from = texts.filter(~F.col("marked").contains(_SEED))
+    line = lambda x: F.struct(F.split(x, _SEED).alias("w"), x.rlike("[0-9]").alias("digit"))
+    chosen_from = texts if "words" in texts.columns else cut_lines(texts)
     if asked is None:
-        chosen_from = chosen_from.filter(F.col("marked").rlike("[0-9]"))
-    cut = chosen_from.select(F.transform(F.split(F.lower("marked"), "\n"), line).alias("lines"))
+        chosen_from = chosen_from.filter(F.col("words").rlike("[0-9]"))
+    cut = chosen_from.select(F.transform(F.filter(F.split("words", "\n"), lambda x: x.contains(_SEED)), line).alias("lines"))
 
     def chosen(row: Column) -> Column:
         w = row["w"]
@@ -224,15 +237,15 @@ def beside_seeds(texts: DataFrame, supported: DataFrame) -> DataFrame:
     return staged(rows.filter(_in(table, F.col("pattern")) | F.col("value").rlike("[0-9]")).distinct(), "beside-seeds")
 
 
-def sizes_of(texts: DataFrame, seeds: DataFrame, beside: DataFrame, supported: DataFrame) -> DataFrame:
+def sizes_of(lines: DataFrame, seeds: DataFrame, beside: DataFrame, supported: DataFrame) -> DataFrame:
     """Staged supported patterns with about how many values stand at them; counted in sketches, so no pair of them travels."""
     table = _bit_table(supported)
     near = seeds.select("pattern", "value").unionByName(beside)
-    every = standing(texts, table, table).unionByName(near.filter(_in(table, F.col("pattern"))))
+    every = standing(lines, table, table).unionByName(near.filter(_in(table, F.col("pattern"))))
     return staged(every.groupBy("pattern").agg(F.approx_count_distinct("value").alias("values")).join(supported, "pattern"), "pattern-sizes")
 
 
-def edges_of(texts: DataFrame, seeds: DataFrame, beside: DataFrame, sizes: DataFrame, learned: int = 0, confidence: float = CONFIDENCE) -> DataFrame:
+def edges_of(lines: DataFrame, seeds: DataFrame, beside: DataFrame, sizes: DataFrame, learned: int = 0, confidence: float = CONFIDENCE) -> DataFrame:
     """The distinct (pattern, value, kind) that trust can come from: every word at a supported pattern that could be trusted
     if `learned` values were added to its seeds, and at patterns that no seeds support the seeds and words with a digit.
 
@@ -240,7 +253,7 @@ def edges_of(texts: DataFrame, seeds: DataFrame, beside: DataFrame, sizes: DataF
     """
     rated = sizes.select("pattern", (F.col("values") <= SLACK * (F.col("n") + learned) / confidence + 100).alias("hopeful"))
     hopeful = rated.filter("hopeful")
-    plain = standing(texts, _bit_table(sizes), None if hopeful.isEmpty() else _bit_table(hopeful)).unionByName(beside)
+    plain = standing(lines, _bit_table(sizes), None if hopeful.isEmpty() else _bit_table(hopeful)).unionByName(beside)
     rows = plain.withColumn("kind", F.lit(None).cast("string")).unionByName(seeds).join(rated, "pattern", "left")
     return rows.filter(F.coalesce("hopeful", F.col("kind").isNotNull() | F.col("value").rlike("[0-9]"))).select("pattern", "value", "kind").distinct()
 
@@ -250,9 +263,10 @@ def bootstrap(texts: DataFrame, support: int = SUPPORT) -> tuple[DataFrame, Data
     seeds = seeds_of(texts)
     supported = staged(seeds.groupBy("pattern").agg(F.count_distinct("value").alias("n")).filter(F.col("n") >= support), "supported")
     beside = beside_seeds(texts, supported)
-    sizes, reach = sizes_of(texts, seeds, beside, supported), 0
+    lines = staged(cut_lines(texts), "cut-lines")
+    sizes, reach = sizes_of(lines, seeds, beside, supported), 0
     while True:
-        learned, trusted = learn(staged(edges_of(texts, seeds, beside, sizes, reach), "pattern-edges"), seeds.select("value", "kind").distinct())
+        learned, trusted = learn(staged(edges_of(lines, seeds, beside, sizes, reach), "pattern-edges"), seeds.select("value", "kind").distinct())
         found = learned.count()
         if found <= reach:
             return learned, trusted
