@@ -10,17 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetgauge.llm import decontamination, jaccard, packing, private_data, toxicity
-from fleetgauge.llm.common import held_out, let_go_of_caches, let_go_of_shuffles, staged, table
+from fleetgauge.llm.common import held_out, let_go_of_caches, let_go_of_heaps, let_go_of_shuffles, staged, table
 from fleetgauge.llm.queries import vocabulary
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def rested(stage: Stage) -> Stage:
-    """The stage, begun after executors let go of what the one before it kept on disk."""
+    """The stage, begun after executors let go of what the one before it kept on disk and left in their heaps."""
     @wraps(stage)
     def run_rested(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         let_go_of_shuffles(spark)
+        let_go_of_heaps(spark)
         return stage(spark, docs, sf_dir)
     return run_rested
 

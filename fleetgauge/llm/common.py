@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 from collections.abc import Callable, Hashable, Iterator
@@ -90,9 +91,24 @@ def let_go_of_shuffles(spark: SparkSession) -> None:
     spark._jvm.java.lang.System.gc()
 
 
+def let_go_of_heaps(spark: SparkSession) -> None:
+    """Has executors collect their garbage, upon which a JVM gives back to the system the heap that it does not need.
+
+    A JVM lets its heap grow up to its limit rather than look through all of it. What one stage left there as garbage
+    would count beside the Python workers of the next one. A task for each core; none of them runs Python.
+    """
+    slots = max(1, spark.sparkContext.defaultParallelism)
+    spark.range(0, slots, 1, slots).select(F.reflect(F.lit("java.lang.System"), F.lit("gc")).alias("done")).write.format("noop").mode("overwrite").save()
+
+
 def _empty() -> None:
+    """Clears what is kept; its memory goes back to the system, not only to the allocators of this process."""
     _kept.clear()
     gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it, others may not
+    if trim:
+        trim(0)
 
 
 def let_go_of_caches(spark: SparkSession) -> None:
