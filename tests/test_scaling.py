@@ -116,6 +116,33 @@ def test_messages_of_a_large_instance_take_many_tasks(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def test_index_messages_of_a_large_instance_are_made_once_in_many_tasks(spark):
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        instances = spark.createDataFrame([("hot", "c"), ("hot", "d"), ("small", "c"), ("none", "c"), (None, "c")], "instance_id string, cluster_id string")
+        computed = spark.sparkContext.accumulator(0)
+        count = F.udf(lambda name: computed.add(1) or name, "string").asNondeterministic()
+        tables = spark.range(2000).select(F.lit("hot").alias("instance_id"), F.concat(F.lit("t"), "id").alias("table"))
+        tables = tables.unionByName(spark.createDataFrame([("small", "t"), ("unknown", "t"), (None, "t")], "instance_id string, `table` string"))
+        duplicates = tables.select(
+            "instance_id", F.lit("s").alias("database"), count("table").alias("table"), F.lit("k").alias("duplicate_index"), F.lit("l").alias("overlaps_with"),
+            F.array(F.lit("x")).alias("columns"), F.lit("drop").alias("drop_statement"))
+        hot = spark.createDataFrame([("hot",)], "instance_id string")
+        made = payloads(instances, duplicates=duplicates, hot=hot)["pt-duplicate-key-checker"]
+        rows = made.select("instance_id", "json_payload", F.spark_partition_id().alias("task")).collect()
+        assert computed.value == 2003  # the findings are not computed again for instances without any
+        assert max(Counter(r.task for r in rows).values()) < 2000  # 4000 in one task before
+        assert Counter(r.instance_id for r in rows) == {"hot": 4000, "small": 1, "none": 1, None: 1}
+        assert [r.json_payload for r in rows if r.instance_id in ("none", None)] == ['{"findings":null}'] * 2
+        plain = payloads(instances, duplicates=duplicates)["pt-duplicate-key-checker"]
+        assert Counter(plain.collect()) == Counter((r.instance_id, r.json_payload) for r in rows)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_waits_are_dealt_out_once(spark, shuffles):
     batch = spark.createDataFrame(
         [("i", "c", 9, "io", 5, "2026-04-24 10:00:01", True, None, None), ("i", None, None, None, None, "2026-04-24 10:00:02", False, 9, "A")],
