@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetgauge import (
-    compact_lake, envelopes, isolated, latest_in_lake, object_store_settings, payloads, read_lake, register_views, run_tools, shared_dir,
+    compact_lake, cut_points, envelopes, isolated, latest_in_lake, object_store_settings, payloads, read_lake, register_views, run_tools, shared_dir,
     topic_of, write_envelopes, write_lake, write_report,
 )
 from fleetgauge.schemas import DATASETS, METRICS
@@ -290,6 +290,35 @@ def test_envelopes(messages):
     assert len({group[0].run_id for group in by_tool.values()}) == len(by_tool)
 
 
+def test_index_findings_of_an_instance_are_one_envelope(spark):
+    instances = spark.createDataFrame([("a", "c"), ("b", "c"), ("none", "c")], "instance_id string, cluster_id string")
+    found = [(i, f"s{n % 2}", f"t{n:03}", f"k{k}", "l", ["x"] * k, 'drop "it"', False) for i, tables in (("a", 200), ("b", 3)) for n in range(tables) for k in (2, 1)]
+    duplicates = spark.createDataFrame(found, DUPLICATES)
+    tables = duplicates.select("instance_id", F.col("database").alias("table_schema"), F.col("table").alias("table_name")).distinct()
+    cuts = cut_points(tables, ["instance_id"], ["table_schema", "table_name"], fraction=1, every=30)
+    assert [(r.instance_id, len(r.cuts)) for r in cuts.collect()] == [("a", 6)]
+    fields = ("database", "table", "duplicate_index", "overlaps_with", "columns", "drop_statement")
+
+    def whole(instance):
+        rows = sorted((r[1:7] for r in found if r[0] == instance), key=lambda r: (r[0], r[1], len(r[4]), r[2]))
+        return [dict(zip(fields, row)) for row in rows]
+
+    for given, parts in ((cuts, [0, 1, 2, 3, 4, 5, 6]), (None, [0])):
+        hot = spark.createDataFrame([("a",)], "instance_id string") if given else None
+        made = payloads(instances, duplicates=duplicates, schemas=duplicates.select("instance_id", "table").limit(1), hot=hot, per_table=False, cuts=given)
+        rows = sorted(envelopes(instances, made, "t", seed="x", hot=hot).collect(), key=lambda r: r.part)
+        index = [r for r in rows if r.tool == "pt-duplicate-key-checker"]
+        of = lambda name: [r for r in index if r.instance_id == name]
+        assert [r.part for r in of("a")] == parts and [r.part for r in of("b")] == [r.part for r in of("none")] == [0]
+        assert all(len({r.run_id for r in of(name)}) == 1 for name in ("a", "b", "none"))
+        assert [f for r in of("a") for f in json.loads(r.json_payload)["findings"]] == whole("a")
+        assert json.loads(of("b")[0].json_payload)["findings"] == whole("b") and of("none")[0].json_payload == '{"findings":null}'
+        assert max(len(json.loads(r.json_payload)["findings"]) for r in of("a")) == (2 * 30 if given else 400)
+        assert [r.part for r in rows if r.tool == "table-schema"] == [0]
+    text = '{"findings":' + json.dumps(whole("b"), separators=(",", ":")) + "}"
+    assert of("b")[0].json_payload == text
+
+
 def test_run_ids_survive_a_second_evaluation(messages):
     assert Counter(messages().collect()) == Counter(messages().collect())
     assert not {r.run_id for r in messages("x").collect()} & {r.run_id for r in messages("y").collect()}
